@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from facetframe.functions.numbers import lenient_number, strict_number, without_nan
-from facetframe.functions.text import strip
+from facetframe.functions.text import question_form, strip
 from facetframe.operators.aggregate import count_per_value, mean_per_category, mean_per_month
 from facetframe.operators.filters import number_in
 from facetframe.operators.frames import cell, kind_of, order_columns
@@ -242,8 +242,6 @@ def chart_type_by_intent(intent: Column, requested: Column, row_count: Column) -
 
 
 def local_chart_type(question: Column, intent: Column) -> Column:
-    from facetframe.functions.text import question_form
-
     return F.when(intent == "trend", "line").when(question_form(question).contains("pie"), "pie").otherwise("bar")
 
 

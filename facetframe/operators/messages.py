@@ -8,6 +8,7 @@ of messages with names is ever materialised.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -217,7 +218,7 @@ def alias_mentions(
     form = link_form if rules == "server" else question_form
     linked = []
     for i, name in enumerate(names):
-        plain = name.lower().replace("_", " ").replace("-", " ")
+        plain = re.sub("[^a-z0-9]", " ", name.lower()).strip()
         for turn, (group, words) in enumerate(groups.items()):
             if rules == "server":
                 triggers = list(words) if any(w in plain for w in words) else []
