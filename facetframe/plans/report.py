@@ -56,8 +56,12 @@ def _money(c: Column, digits: int = 2) -> Column:
     return F.format_number(c, digits)
 
 
-NUMERIC = F.col("detected_type") == "numeric"
-CATEGORICAL = F.col("detected_type") == "categorical"
+def _numeric() -> Column:
+    return F.col("detected_type") == "numeric"
+
+
+def _categorical() -> Column:
+    return F.col("detected_type") == "categorical"
 
 
 # ---------------------------------------------------------------- KPI rows
@@ -78,7 +82,7 @@ def _completeness(missing: Column, cells: Column) -> Column:
 def profile_kpis(profile: DataFrame, limit: int = 8) -> DataFrame:
     """(place, label, value): records, first numeric columns, completeness, first category."""
     whole = _whole(profile)
-    numbers = _nth(profile, NUMERIC).where(F.col("k") < 3)
+    numbers = _nth(profile, _numeric()).where(F.col("k") < 3)
     rows = [
         whole.select(F.lit(0).alias("place"), F.lit("Total Records").alias("label"), _money(F.col("rows"), 0).alias("value")),
         numbers.where(F.col("sum") > 0).select(
@@ -96,7 +100,7 @@ def profile_kpis(profile: DataFrame, limit: int = 8) -> DataFrame:
             F.lit("Data Completeness").alias("label"),
             F.concat(_money(_completeness(F.col("missing"), F.col("cells")), 1), F.lit("%")).alias("value"),
         ),
-        _nth(profile, CATEGORICAL)
+        _nth(profile, _categorical())
         .where(F.col("k") == 0)
         .select(
             F.lit(11).alias("place"),
@@ -110,7 +114,7 @@ def profile_kpis(profile: DataFrame, limit: int = 8) -> DataFrame:
 def report_kpis(profile: DataFrame, limit: int = 10) -> DataFrame:
     """(place, label, value, formula); the headline is the numeric column with the largest sum."""
     whole = _whole(profile)
-    positive = NUMERIC & (F.col("sum") > 0)
+    positive = _numeric() & (F.col("sum") > 0)
     numbers = _nth(profile, positive)
     title = title_label(F.col("column"))
     cv = cv_of(F.col("std"), F.abs("average"))
@@ -141,7 +145,7 @@ def report_kpis(profile: DataFrame, limit: int = 10) -> DataFrame:
             F.concat(_money(_completeness(F.col("missing"), F.col("cells")), 1), F.lit("%")).alias("value"),
             F.lit("(Filled Cells / Total Cells) × 100").alias("formula"),
         ),
-        _nth(profile, CATEGORICAL)
+        _nth(profile, _categorical())
         .where(F.col("k") < 2)
         .select(
             (F.col("k") + 11).alias("place"),
@@ -163,7 +167,7 @@ def column_kpis(profile: DataFrame, limit: int = 4) -> DataFrame:
     """(place, label, value, basis): the sum of a numeric column, or its mean if the sum is small."""
     large = F.abs(F.col("sum")) >= 1000
     return (
-        _nth(profile, NUMERIC & F.col("sum").isNotNull())
+        _nth(profile, _numeric() & F.col("sum").isNotNull())
         .where(F.col("k") < limit)
         .select(
             F.col("k").alias("place"),
@@ -216,8 +220,8 @@ def profile_insights(profile: DataFrame, domain: str = "general", limit: int = 1
     counts = profile.agg(
         F.max("row_count").alias("rows"),
         F.count("*").alias("k"),
-        F.count_if(NUMERIC).alias("numbers"),
-        F.count_if(CATEGORICAL).alias("categories"),
+        F.count_if(_numeric()).alias("numbers"),
+        F.count_if(_categorical()).alias("categories"),
     )
     opening = F.format_string(
         f"This {domain} dataset contains %s records across %d columns (%d numeric, %d categorical).",
@@ -227,7 +231,7 @@ def profile_insights(profile: DataFrame, domain: str = "general", limit: int = 1
         "categories",
     )
     cv = cv_of(F.col("std"), F.abs("average"))
-    usable = NUMERIC & F.col("min").isNotNull() & (F.coalesce(F.col("std"), F.lit(0.0)) != 0) & (F.col("average") != 0)
+    usable = _numeric() & F.col("min").isNotNull() & (F.coalesce(F.col("std"), F.lit(0.0)) != 0) & (F.col("average") != 0)
     span = [_money(F.col("min")), _money(F.col("max"))]
     varied = F.format_string(
         "**%s** shows high variability (CV=%s%%) — ranging from %s to %s.",
@@ -252,7 +256,7 @@ def profile_insights(profile: DataFrame, domain: str = "general", limit: int = 1
             *_said(F.col("position") + 1, "distribution", F.col("column"), F.when(cv > 50, varied).otherwise(steady))
         ),
         _worst(profile).select(*_said(F.lit(10_000), "quality", F.col("column"), gap)),
-        profile.where(CATEGORICAL & (F.size("top_values") > 0)).select(
+        profile.where(_categorical() & (F.size("top_values") > 0)).select(
             *_said(F.col("position") + 20_000, "pattern", F.col("column"), leader)
         ),
     ]
@@ -261,13 +265,13 @@ def profile_insights(profile: DataFrame, domain: str = "general", limit: int = 1
 
 def report_insights(df: DataFrame, profile: DataFrame, domain: str = "general", limit: int = 12) -> DataFrame:
     """As the profile insights, with skewness, category shares and IQR outliers."""
-    numbers = names_of(profile, NUMERIC)
+    numbers = names_of(profile, _numeric())
     context = "This dataset" if domain == "general" else f"This {domain} dataset"
     counts = profile.agg(
         F.max("row_count").alias("rows"),
         F.count("*").alias("k"),
-        F.count_if(NUMERIC).alias("numbers"),
-        F.count_if(CATEGORICAL).alias("categories"),
+        F.count_if(_numeric()).alias("numbers"),
+        F.count_if(_categorical()).alias("categories"),
     )
     opening = F.format_string(
         f"{context} contains %s records with %d attributes (%d metrics, %d dimensions).",
@@ -334,7 +338,7 @@ def report_insights(df: DataFrame, profile: DataFrame, domain: str = "general",
         F.format_number(top["n"] * 100.0 / shown, 1),
     )
     rows.append(
-        profile.where(CATEGORICAL & (F.size("top_values") > 0)).select(
+        profile.where(_categorical() & (F.size("top_values") > 0)).select(
             *_said(F.col("position") + 10_000, "pattern", F.col("column"), leader)
         )
     )
@@ -423,8 +427,8 @@ def type_counts(profile: DataFrame) -> DataFrame:
 def key_fields(profile: DataFrame, limit: int = 10) -> DataFrame:
     """(position, column, type): metrics, small dimensions and time columns."""
     kind = (
-        F.when(NUMERIC & (F.col("sum") > 0), "metric")
-        .when(CATEGORICAL & (F.col("unique_count") <= 20), "dimension")
+        F.when(_numeric() & (F.col("sum") > 0), "metric")
+        .when(_categorical() & (F.col("unique_count") <= 20), "dimension")
         .when(F.col("detected_type") == "datetime", "temporal")
     )
     fields = profile.select("position", "column", kind.alias("type")).where(F.col("type").isNotNull())
@@ -496,10 +500,10 @@ class Report:
 
 def report_charts(df: DataFrame, profile: DataFrame, order_by) -> dict[str, DataFrame]:
     """The charts that the columns allow, at most six: only those that exist."""
-    small = CATEGORICAL & (F.col("unique_count") <= 20)
+    small = _categorical() & (F.col("unique_count") <= 20)
     categories = names_of(profile, small)
     few = names_of(profile, small & (F.col("unique_count") <= charts.PIE_SLICES))
-    numbers = names_of(profile, NUMERIC)
+    numbers = names_of(profile, _numeric())
     dates = names_of(profile, F.col("detected_type") == "datetime")
     made: dict[str, DataFrame] = {}
     if categories:
@@ -521,8 +525,8 @@ def comprehensive_report(df: DataFrame, order_by) -> Report:
     """Everything at once. The profile is computed once; each section stays lazy."""
     profile = settled_profile(df, order_by, REPORT)
     domain = table_domain(df, REPORT_DOMAIN_WORDS)
-    numbers = names_of(profile, NUMERIC)
-    categories = names_of(profile, CATEGORICAL)
+    numbers = names_of(profile, _numeric())
+    categories = names_of(profile, _categorical())
     dates = names_of(profile, F.col("detected_type") == "datetime")
     physical = [c for c in numeric_columns(df) if c in numbers]
     return Report(
