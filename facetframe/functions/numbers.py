@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 from facetframe.functions.text import strip
 
 INFINITY = float("inf")
+BRACKET = "\u0001"
 DECIMAL_GRAMMAR = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
@@ -50,17 +51,17 @@ def strict_number(c: Column) -> Column:
 def lenient_number(c: Column, blank: float | None = None) -> Column:
     """Brackets mean negative, everything but digits and signs is dropped.
 
-    `blank` is the value of a non-empty text that holds no digits at all.
+    `blank` is the value of a non-empty text that holds no digits or signs.
+    Brackets are first turned into one mark, so that the text is written once
+    in the expression and not in each branch of a sign rule.
     """
-    raw = strip(c)
-    bracketed = raw.startswith("(") & raw.endswith(")")
-    core = F.when(bracketed, F.substring(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0)))).otherwise(raw)
-    kept = F.regexp_replace(core, r"[^0-9.\-+]", "")
-    signed = F.when(bracketed & (kept != "") & ~kept.startswith("-"), F.concat(F.lit("-"), kept)).otherwise(kept)
-    number = finite(signed.try_cast("double"))
+    marked = F.regexp_replace(strip(c), r"(?s)^\((.*)\)$", f"{BRACKET}$1")
+    kept = F.regexp_replace(marked, rf"[^0-9.\-+{BRACKET}]", "")
+    number = finite(F.regexp_replace(kept, f"^{BRACKET}-?", "-").try_cast("double"))
     if blank is None:
         return number
-    return F.when((raw != "") & (kept == ""), F.lit(float(blank))).otherwise(number)
+    nothing = kept.rlike(f"^{BRACKET}?$") & (strip(c) != "")
+    return F.when(nothing, F.lit(float(blank))).otherwise(number)
 
 
 def chart_number(c: Column) -> Column:

@@ -178,8 +178,8 @@ def _catalog(names: Sequence[str]) -> Column:
 
 
 def _mentioned(messages: DataFrame, names: Sequence[str], test, keep: Sequence[str]) -> DataFrame:
-    entries = F.filter(_catalog(names), test)
-    return messages.select(*[cell(k) for k in keep], F.inline(entries)).select(*[cell(k) for k in keep], "column")
+    found = F.transform(F.filter(_catalog(names), test), lambda e: e["column"])
+    return messages.select(*[cell(k) for k in keep], F.explode(found).alias("column"))
 
 
 def column_mentions(
@@ -249,11 +249,8 @@ def alias_mentions(
             F.col("_hits"), lambda o: (o["position"] == e["position"]) & (o["turn"] < e["turn"])
         ),
     )
-    return (
-        prepared.withColumn("_hits", hits)
-        .select(*[cell(k) for k in keep], F.inline(firsts))
-        .select(*[cell(k) for k in keep], "column", "alias")
-    )
+    named = F.transform(firsts, lambda e: F.struct(e["column"].alias("column"), e["alias"].alias("alias")))
+    return prepared.withColumn("_hits", hits).select(*[cell(k) for k in keep], F.inline(named))
 
 
 def low_cardinality_values(df: DataFrame, columns: Sequence[str], at_most: int = 24) -> DataFrame:
