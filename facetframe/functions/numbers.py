@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from facetframe.functions.text import strip
@@ -30,6 +28,10 @@ def formatted_number(c: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9.\-+]", "").try_cast("double")
 
 
+def _whole_match(c: Column, pattern: str, group: int = 0) -> Column:
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+
+
 def strict_number(c: Column) -> Column:
     """Only a plain finite literal (grouping commas allowed) is a number.
 
@@ -37,15 +39,15 @@ def strict_number(c: Column) -> Column:
     and `1e400`. Prefixed base-2, -8 and -16 integers are accepted.
     """
     raw = F.replace(strip(c), F.lit(","), F.lit(""))
-    decimal = F.when(raw.rlike(DECIMAL_GRAMMAR), raw.try_cast("double"))
-    prefixed = reduce(
-        lambda acc, rule: F.when(
-            raw.rlike(rule[0]), F.conv(F.substring(raw, F.lit(3), F.length(raw)), rule[1], 10).try_cast("double")
-        ).otherwise(acc),
-        [(r"^0[xX][0-9a-fA-F]{1,15}$", 16), (r"^0[oO][0-7]{1,20}$", 8), (r"^0[bB][01]{1,60}$", 2)],
-        F.lit(None).cast("double"),
-    )
-    return finite(F.coalesce(decimal, prefixed))
+    prefixed = [
+        F.conv(_whole_match(raw, pattern, 1), base, 10).try_cast("double")
+        for pattern, base in (
+            (r"^0[xX]([0-9a-fA-F]{1,15})$", 16),
+            (r"^0[oO]([0-7]{1,20})$", 8),
+            (r"^0[bB]([01]{1,60})$", 2),
+        )
+    ]
+    return F.coalesce(finite(_whole_match(raw, DECIMAL_GRAMMAR).try_cast("double")), *prefixed)
 
 
 def lenient_number(c: Column, blank: float | None = None) -> Column:

@@ -11,9 +11,9 @@ from facetframe.functions.numbers import lenient_number, strict_number, without_
 from facetframe.functions.text import question_form, strip
 from facetframe.operators.aggregate import count_per_value, mean_per_category, mean_per_month
 from facetframe.operators.filters import number_in
-from facetframe.operators.frames import cell, kind_of, order_columns
+from facetframe.operators.frames import cell, kind_of, order_columns, with_one_row
 from facetframe.operators.ordering import numbered, running_total
-from facetframe.operators.stats import histogram
+from facetframe.operators.stats import histogram, pearson
 
 MAX_POINTS = 50
 PIE_SLICES = 8
@@ -47,16 +47,12 @@ def scatter_points(df: DataFrame, x: str, y: str, order_by, limit: int = 100, at
             without_nan(number_in(df, y)).alias("y"),
         )
         .dropna(subset=["x", "y"])
-        .orderBy("_at")
+        .orderBy("_at", "x", "y")
         .limit(limit)
     )
-    all_points = W.partitionBy(F.lit(0))
-    return (
-        head.withColumn("r", F.round(F.corr("x", "y").over(all_points), 4))
-        .withColumn("_k", F.count("*").over(all_points))
-        .where(F.col("_k") >= at_least)
-        .select("x", "y", "r")
-    )
+    # Both sides are the same few points.
+    measured = head.agg(F.round(pearson("x", "y"), 4).alias("r"), F.count("*").alias("_k"))
+    return with_one_row(head, measured).where(F.col("_k") >= at_least).select("x", "y", "r")
 
 
 def average_bars(df: DataFrame, category: str, value: str) -> DataFrame:

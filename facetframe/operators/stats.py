@@ -23,6 +23,14 @@ from facetframe.operators.quantiles import exact_quantiles
 # ---------------------------------------------------------------- correlation
 
 
+def pearson(a, b) -> Column:
+    """Correlation over the rows that hold both values; null if one never varies.
+
+    `corr` itself divides by zero for a constant column, an error in ANSI mode.
+    """
+    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b)))
+
+
 def _pair_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r) for a before b; each pair over the rows that have both values."""
     at = {c: i for i, c in enumerate(columns)}
@@ -31,15 +39,15 @@ def _pair_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     def part(chunk) -> DataFrame:
         wide = numbers.agg(
-            *[F.corr(f"v{at[a]}", f"v{at[b]}").alias(f"r{k}") for k, (a, b) in enumerate(chunk)]
+            *[pearson(f"v{at[a]}", f"v{at[b]}").alias(f"r{k}") for k, (a, b) in enumerate(chunk)]
         )
         structs = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), without_nan(F.col(f"r{k}")).alias("r"))
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r"))
             for k, (a, b) in enumerate(chunk)
         ]
         return wide.select(F.inline(F.array(*structs)))
 
-    return stacked([part(chunk) for chunk in in_chunks(pairs)])
+    return stacked([part(chunk) for chunk in in_chunks(pairs, 24)])
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
