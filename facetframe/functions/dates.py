@@ -12,7 +12,15 @@ from facetframe.functions.text import strip
 DATE_SHAPES = (r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{2}-\d{2}-\d{4}")
 REPORT_DATE_SHAPES = DATE_SHAPES + (r"\d{4}/\d{2}/\d{2}",)
 
-PARSE_FORMATS = ("yyyy/MM/dd", "MM/dd/yyyy", "MM-dd-yyyy", "MMM d, yyyy", "d MMM yyyy")
+# A text is given to a parser only if it has the parser's shape: a failed parse
+# costs an exception, which a column of ordinary text would pay on every row.
+PARSE_FORMATS = {
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "MM-dd-yyyy": r"^\d{2}-\d{2}-\d{4}$",
+    "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Z][a-z]{2} \d{4}$",
+}
 ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$"
 YEAR_SHAPE = r"^\d{4}$"
 
@@ -23,10 +31,14 @@ def looks_like_date(c: Column, shapes=DATE_SHAPES) -> Column:
 
 
 def parse_date(c: Column, formats=PARSE_FORMATS) -> Column:
-    """Timestamp of a date text; what cannot be read is null."""
+    """Timestamp of a date text; what cannot be read is null.
+
+    `formats` maps each further format to the shape of the texts it is tried on.
+    """
     text = strip(c)
     iso = F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    shaped = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in formats.items()]
+    return F.coalesce(iso, *shaped)
 
 
 def lenient_timestamp(c: Column, formats=PARSE_FORMATS) -> Column:

@@ -58,11 +58,6 @@ def known_label(c: Column) -> Column:
     return F.coalesce(blank_to_null(c), F.lit("Unknown"))
 
 
-def has_word(c: Column, alternatives: str) -> Column:
-    """Whole-word match with ASCII word edges, whatever the JVM's idea of `\\b`."""
-    return c.rlike(rf"(?<![A-Za-z0-9_])(?:{alternatives})(?![A-Za-z0-9_])")
-
-
 def grouped_number(c: Column, digits: int = 2) -> Column:
     return F.format_number(c, digits)
 

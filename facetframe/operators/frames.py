@@ -6,7 +6,10 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-AGG_CHUNK = 48
+# One aggregate of more buffers than this outgrows what the JVM compiles. Wider
+# ones are cut by column: each part reads its own columns only, so nothing is
+# read twice, and the parts run side by side.
+AGG_BUFFERS = 48
 
 
 def cell(name: str) -> Column:
@@ -62,7 +65,7 @@ def rows_of(one_row: DataFrame, labels: Iterable[str], fields: Mapping[str, obje
     return one_row.select(F.inline(F.array(*structs)))
 
 
-def in_chunks(items: Sequence, size: int = AGG_CHUNK) -> list[Sequence]:
+def in_chunks(items: Sequence, size: int = AGG_BUFFERS) -> list[Sequence]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
@@ -76,3 +79,11 @@ def stacked(frames: Sequence[DataFrame]) -> DataFrame:
 def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a global aggregate (exactly one row) to every row."""
     return df.crossJoin(F.broadcast(one_row))
+
+
+def beside(frames: Sequence[DataFrame]) -> DataFrame:
+    """One-row frames put together as one wide row."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.crossJoin(F.broadcast(frame))
+    return out

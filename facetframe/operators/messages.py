@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from facetframe.functions.text import has_word, key_form, link_form, question_form, spaced_form, strip, value_form
+from facetframe.functions.text import key_form, link_form, question_form, spaced_form, strip, value_form
 from facetframe.operators.frames import cell, order_columns, with_one_row
 
 # The words of each rule, in the order they are tried.
@@ -88,12 +88,31 @@ LOCAL_ALIASES = {
 }
 
 
-def first_rule(text: Column, rules, otherwise: str) -> Column:
-    label, words = rules[0]
-    chain = F.when(has_word(text, words), label)
-    for label, words in rules[1:]:
-        chain = chain.when(has_word(text, words), label)
-    return chain.otherwise(otherwise)
+def first_rule(text: Column, rules, otherwise: str, extra: Sequence[tuple[str, str, str]] = ()) -> Column:
+    """Label of the first rule with a word in the text, which is searched once.
+
+    `extra` adds (word, pattern, label) for a word with a condition of its own.
+    """
+    turns: dict[str, int] = {}
+    labels: list[str] = []
+    for label, words in rules:
+        labels.append(label)
+        for word in words.split("|"):
+            turns.setdefault(word, len(labels))
+    patterns = sorted(turns, key=len, reverse=True)
+    # A search takes the longest word at a place and goes on behind it, so a
+    # shorter word inside must not belong to an earlier rule.
+    for long in turns:
+        for short in turns:
+            if short != long and re.search(rf"\b{short}\b", long) and turns[short] < turns[long]:
+                raise ValueError(f"rule of {short!r} would be hidden by {long!r}")
+    for word, pattern, label in extra:
+        turns[word] = labels.index(label) + 1
+        patterns.append(pattern)
+    found = F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9_])({'|'.join(patterns)})(?![A-Za-z0-9_])"), F.lit(1))
+    lookup = F.create_map(*[F.lit(x) for pair in turns.items() for x in pair])
+    first = F.array_min(F.transform(found, lambda word: lookup[word]))
+    return F.coalesce(F.get(F.array(*[F.lit(label) for label in labels]), first - 1), F.lit(otherwise))
 
 
 def intent(message: Column, rules: str = "server") -> Column:
@@ -102,14 +121,10 @@ def intent(message: Column, rules: str = "server") -> Column:
     if rules == "browser":
         text = spaced_form(message)
         asked = F.when(text.contains("?"), "question").otherwise("overview")
-        tagged = first_rule(text, BROWSER_INTENTS, "")
-        return F.when(tagged != "", tagged).otherwise(asked)
-    # The text is trimmed and holds single spaces: "in" must be followed by one,
-    # and the space must be followed by a word.
-    text = question_form(message)
-    tagged = first_rule(text, LOCAL_INTENTS, "aggregation")
-    inside = text.rlike(r"(?<![a-z0-9_])in [a-z0-9_]")
-    return F.when((tagged == "aggregation") & inside, "filter").otherwise(tagged)
+        return F.coalesce(F.nullif(first_rule(text, BROWSER_INTENTS, ""), F.lit("")), asked)
+    # "in" counts only in front of another word.
+    inside = ("in", "in(?= [a-z0-9_])", "filter")
+    return first_rule(question_form(message), LOCAL_INTENTS, "aggregation", [inside])
 
 
 def metric(message: Column, rules: str = "server") -> Column:
@@ -159,8 +174,10 @@ def year_before(message: Column) -> Column:
 
 def compared_pair(message: Column) -> tuple[Column, Column]:
     """The two sides of `a vs b`, filler words dropped; null where there is none."""
+    # The text begins and ends in a word, so a match spans all of it: anchored,
+    # the search does not start anew at every word.
     text = question_form(message)
-    pattern = r"(?<![a-z0-9_])(.+?)\s+(?:vs|versus)\s+(.+)(?![a-z0-9_])"
+    pattern = r"^(.+?)\s+(?:vs|versus)\s+(.+)$"
 
     def side(group: int) -> Column:
         raw = F.regexp_extract(text, pattern, group)

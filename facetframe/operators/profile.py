@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from facetframe.functions.dates import DATE_SHAPES, REPORT_DATE_SHAPES, lenient_timestamp, looks_like_date
-from facetframe.functions.numbers import formatted_number, strict_number, without_nan
+from facetframe.functions.numbers import finite, formatted_number, strict_number, without_nan
 from facetframe.functions.text import blank_to_null, key_form
 from facetframe.operators.frames import (
+    AGG_BUFFERS,
     cell,
     in_chunks,
     kind_of,
@@ -106,38 +107,36 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- numeric summaries
 
 
-def numeric_aggregates(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """(column, n, min, max, mean, std, pop_std, sum, g1, g2), unrounded, one pass."""
+# Aggregates and the number of buffers each one keeps.
+_MOMENTS: dict[str, tuple[Callable[[Column], Column], int]] = {
+    "n": (F.count, 1),
+    "min": (F.min, 1),
+    "max": (F.max, 1),
+    "mean": (F.avg, 2),
+    "std": (F.stddev_samp, 3),
+    "pop_std": (F.stddev_pop, 3),
+    "sum": (F.sum, 1),
+    "g1": (F.skewness, 4),
+    "g2": (F.kurtosis, 5),
+}
+SUMMARY = ("n", "min", "max", "mean", "std", "sum")
+
+
+def numeric_aggregates(df: DataFrame, values: dict[str, Column], fields: Sequence[str] = SUMMARY) -> DataFrame:
+    """(column, <fields>), unrounded. Fields: n, min, max, mean, std, pop_std, sum, g1, g2."""
 
     def part(names: Sequence[str]) -> DataFrame:
         numbers = df.select(*[without_nan(values[n]).alias(f"v{i}") for i, n in enumerate(names)])
         index = {n: i for i, n in enumerate(names)}
         wide = numbers.agg(
-            *[
-                make(F.col(f"v{i}")).alias(f"{field}_{i}")
-                for i in range(len(names))
-                for field, make in _MOMENTS.items()
-            ]
+            *[_MOMENTS[field][0](F.col(f"v{i}")).alias(f"{field}_{i}") for i in range(len(names)) for field in fields]
         )
-        fields = {
-            field: (lambda name, field=field: F.col(f"{field}_{index[name]}")) for field in _MOMENTS
-        }
-        return rows_of(wide, names, fields)
-
-    return stacked([part(chunk) for chunk in in_chunks(list(values), 24)])
-
-
-_MOMENTS: dict[str, Callable[[Column], Column]] = {
-    "n": F.count,
-    "min": F.min,
-    "max": F.max,
-    "mean": F.avg,
-    "std": F.stddev_samp,
-    "pop_std": F.stddev_pop,
-    "sum": F.sum,
-    "g1": F.skewness,
-    "g2": F.kurtosis,
-}
+        return rows_of(
+            wide, names, {field: (lambda name, field=field: F.col(f"{field}_{index[name]}")) for field in fields}
+        )
+
+    width = max(1, AGG_BUFFERS // sum(_MOMENTS[f][1] for f in fields))
+    return stacked([part(chunk) for chunk in in_chunks(list(values), width)])
 
 
 def quantile_rows(df: DataFrame, values: dict[str, Column], probabilities: dict[str, float]) -> DataFrame:
@@ -180,7 +179,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, parse=f
 def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
     values = numeric_values(df, columns)
     quartiles = quantile_rows(df, values, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return numeric_aggregates(df, values).join(F.broadcast(quartiles), "column").select(
+    return numeric_aggregates(df, values, ("n", "mean", "std", "min", "max")).join(F.broadcast(quartiles), "column").select(
         "column",
         F.col("n").alias("count"),
         *[F.round(c, digits).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")],
@@ -190,7 +189,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int =
 def variation(df: DataFrame, columns: Sequence[str] | None = None, signed: bool = False) -> DataFrame:
     """Coefficient of variation in percent and its label; `signed` divides by the signed mean."""
     base = F.col("mean") if signed else F.abs("mean")
-    return numeric_aggregates(df, numeric_values(df, columns)).select(
+    return numeric_aggregates(df, numeric_values(df, columns), ("mean", "std")).select(
         "column",
         F.round(cv_of(F.col("std"), base), 2).alias("cv"),
         cv_label(cv_of(F.col("std"), base)).alias("variability"),
@@ -388,11 +387,20 @@ def ratio_types(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
 
 def all_numeric(df: DataFrame) -> DataFrame:
     """(column, filled, is_numeric): every non-empty cell is a finite number."""
+    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+
+    def filled(c: str) -> Column:
+        return blank_to_null(cell(c)) if kinds[c] == "text" else cell(c)
+
+    def number(c: str) -> Column:
+        if kinds[c] == "numeric":
+            return finite(cell(c).cast("double"))
+        return strict_number(cell(c).cast("string"))
 
     def part(chunk: Sequence[str]) -> DataFrame:
         wide = df.agg(
-            *[F.count(blank_to_null(cell(c))).alias(f"filled_{i}") for i, c in enumerate(chunk)],
-            *[F.count(strict_number(cell(c).cast("string"))).alias(f"num_{i}") for i, c in enumerate(chunk)],
+            *[F.count(filled(c)).alias(f"filled_{i}") for i, c in enumerate(chunk)],
+            *[F.count(number(c)).alias(f"num_{i}") for i, c in enumerate(chunk)],
         )
         at = {c: i for i, c in enumerate(chunk)}
         return rows_of(

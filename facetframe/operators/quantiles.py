@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from facetframe.operators.frames import cell, in_chunks
+from facetframe.operators.frames import beside, cell, in_chunks
 
 IN_MEMORY_CELLS = 4_000_000
 BRACKET_VALUES = 200_000
@@ -59,7 +59,8 @@ def exact_quantiles(
     numbers, names = _numbers(df, columns)
     if df.count() * len(names) <= in_memory_cells:
         probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        return numbers.agg(*[F.percentile(cell(n), probs).alias(n) for n in names])
+        # A column each, side by side: every part scans its own column only.
+        return beside([numbers.agg(F.percentile(cell(n), probs).alias(n)) for n in names])
     found = {
         name: values
         for chunk in in_chunks(names, 12)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from facetframe.functions.numbers import without_nan
 from facetframe.operators.frames import (
+    AGG_BUFFERS,
     cell,
     in_chunks,
     numeric_columns,
@@ -47,7 +48,7 @@ def _pair_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ]
         return wide.select(F.inline(F.array(*structs)))
 
-    return stacked([part(chunk) for chunk in in_chunks(pairs, 24)])
+    return stacked([part(chunk) for chunk in in_chunks(pairs, AGG_BUFFERS // 10)])
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
@@ -301,7 +302,7 @@ def corrected_kurtosis(n: Column, g2: Column) -> Column:
 def shape(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
     """(column, n, skewness, kurtosis), bias-corrected; null below eight values."""
     n = F.col("n")
-    return numeric_aggregates(df, numeric_values(df, columns)).select(
+    return numeric_aggregates(df, numeric_values(df, columns), ("n", "g1", "g2")).select(
         "column",
         "n",
         F.round(corrected_skewness(n, F.col("g1")), digits).alias("skewness"),
@@ -319,14 +320,14 @@ def skew_label(skewness: Column, above: float = 0.5) -> Column:
 
 def skew_labels(df: DataFrame, columns: Sequence[str] | None = None, above: float = 0.5) -> DataFrame:
     raw = corrected_skewness(F.col("n"), F.col("g1"))
-    return numeric_aggregates(df, numeric_values(df, columns)).select(
+    return numeric_aggregates(df, numeric_values(df, columns), ("n", "g1")).select(
         "column", F.round(raw, 4).alias("skewness"), skew_label(raw, above).alias("label")
     )
 
 
 def moments(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
     """(column, mean, variance, std) of the population."""
-    return numeric_aggregates(df, numeric_values(df, columns)).select(
+    return numeric_aggregates(df, numeric_values(df, columns), ("mean", "pop_std")).select(
         "column",
         F.round("mean", digits).alias("mean"),
         F.round(F.col("pop_std") * F.col("pop_std"), digits).alias("variance"),

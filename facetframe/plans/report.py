@@ -282,7 +282,7 @@ def report_insights(df: DataFrame, profile: DataFrame, domain: str = "general",
     )
     rows = [counts.select(*_said(F.lit(0), "overview", F.lit("*"), opening, "high"))]
     if numbers:
-        skews = numeric_aggregates(df, numeric_values(df, numbers)).select(
+        skews = numeric_aggregates(df, numeric_values(df, numbers), ("n", "g1")).select(
             "column", F.col("n"), corrected_skewness(F.col("n"), F.col("g1")).alias("skew")
         )
         skew = F.col("skew")
@@ -371,7 +371,7 @@ def legacy_insights(df: DataFrame, limit: int = 6) -> DataFrame:
         )
     ]
     if numbers:
-        stats = numeric_aggregates(df, numeric_values(df, numbers))
+        stats = numeric_aggregates(df, numeric_values(df, numbers), ("mean", "std"))
         cv = cv_of(F.col("std"), F.col("mean"))
         parts.append(
             stats.where(cv > 50).select(

@@ -512,7 +512,7 @@ def _(spark, folder):
 def _(spark, folder):
     rows = mixed(spark, folder)
     roles = profile.with_roles(profile.ratio_types(rows))
-    averages = profile.numeric_aggregates(rows, profile.numeric_values(rows)).select("column", F.col("mean").alias("average"))
+    averages = profile.numeric_aggregates(rows, profile.numeric_values(rows), ["mean"]).select("column", F.col("mean").alias("average"))
     return report.role_patterns(roles, averages, profile.top_values(rows, MIXED_TEXTS, 6))
 
 

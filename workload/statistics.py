@@ -5,7 +5,6 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from facetframe.operators import aggregate, normality, stats, trend
-from facetframe.operators.profile import numeric_aggregates, numeric_values
 from facetframe.operators.quantiles import exact_quantiles
 from facetframe.operators.frames import rows_of
 from workload.base import query, table
