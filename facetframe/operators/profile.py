@@ -26,6 +26,8 @@ from facetframe.operators.frames import (
 from facetframe.operators.quantiles import exact_quantiles
 
 LONG_TEXT = 64
+# Columns whose texts are parsed in one aggregate; more make its code too long to compile.
+PARSED_COLUMNS = 2
 
 
 def plain_number(c: Column) -> Column:
@@ -35,27 +37,51 @@ def plain_number(c: Column) -> Column:
 # ---------------------------------------------------------------- counts
 
 
+def _families(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Columns by the type their cells are counted in, so that numbers stay numbers."""
+    families: dict[str, list[str]] = {"bigint": [], "double": [], "string": []}
+    for field in df.schema.fields:
+        if field.name not in columns:
+            continue
+        if isinstance(field.dataType, T.IntegralType):
+            families["bigint"].append(field.name)
+        elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            families["double"].append(field.name)
+        else:
+            families["string"].append(field.name)
+    return {kind: names for kind, names in families.items() if names}
+
+
 def column_counts(df: DataFrame, columns: Sequence[str] | None = None, blank_is_missing: bool = False) -> DataFrame:
-    """(column, row_count, filled, missing, unique_count), one pass for all columns.
+    """(column, row_count, filled, missing, unique_count), one pass for all columns of a type.
 
     Long texts are counted by digest, so the shuffle carries 64 characters for
     each of them and not the text.
     """
-    cells = long_cells(df, columns)
-    value = blank_to_null(F.col("value")) if blank_is_missing else F.col("value")
-    short = F.when(F.length(value) > LONG_TEXT, F.sha2(value, 256)).otherwise(value)
-    return (
-        cells.select("column", short.alias("value"))
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-        .groupBy("column")
-        .agg(
-            F.sum("n").alias("row_count"),
-            F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("filled"),
-            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
-            F.count("value").alias("unique_count"),
+
+    def part(kind: str, names: list[str]) -> DataFrame:
+        typed = df.select(*[cell(c).cast(kind).alias(c) for c in names])
+        cells = typed.unpivot([], [cell(c) for c in names], "column", "value")
+        value = F.col("value")
+        if kind == "double":
+            value = F.when(~F.isnan(value), value)
+        if kind == "string":
+            value = blank_to_null(value) if blank_is_missing else value
+            value = F.when(F.length(value) > LONG_TEXT, F.sha2(value, 256)).otherwise(value)
+        return (
+            cells.select("column", value.alias("value"))
+            .groupBy("column", "value")
+            .agg(F.count("*").alias("n"))
+            .groupBy("column")
+            .agg(
+                F.sum("n").alias("row_count"),
+                F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("filled"),
+                F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
+                F.count("value").alias("unique_count"),
+            )
         )
-    )
+
+    return stacked([part(kind, names) for kind, names in _families(df, list(columns or df.columns)).items()])
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 10, counts: DataFrame | None = None) -> DataFrame:
@@ -119,11 +145,17 @@ _MOMENTS: dict[str, tuple[Callable[[Column], Column], int]] = {
     "g1": (F.skewness, 4),
     "g2": (F.kurtosis, 5),
 }
+NUMERIC_FIELDS = ("min", "max", "average", "median", "std", "sum")
 SUMMARY = ("n", "min", "max", "mean", "std", "sum")
 
 
-def numeric_aggregates(df: DataFrame, values: dict[str, Column], fields: Sequence[str] = SUMMARY) -> DataFrame:
-    """(column, <fields>), unrounded. Fields: n, min, max, mean, std, pop_std, sum, g1, g2."""
+def numeric_aggregates(
+    df: DataFrame, values: dict[str, Column], fields: Sequence[str] = SUMMARY, most: int = AGG_BUFFERS
+) -> DataFrame:
+    """(column, <fields>), unrounded. Fields: n, min, max, mean, std, pop_std, sum, g1, g2.
+
+    `most` is the number of columns that may share one aggregate.
+    """
 
     def part(names: Sequence[str]) -> DataFrame:
         numbers = df.select(*[without_nan(values[n]).alias(f"v{i}") for i, n in enumerate(names)])
@@ -135,7 +167,7 @@ def numeric_aggregates(df: DataFrame, values: dict[str, Column], fields: Sequenc
             wide, names, {field: (lambda name, field=field: F.col(f"{field}_{index[name]}")) for field in fields}
         )
 
-    width = max(1, AGG_BUFFERS // sum(_MOMENTS[f][1] for f in fields))
+    width = max(1, min(most, AGG_BUFFERS // sum(_MOMENTS[f][1] for f in fields)))
     return stacked([part(chunk) for chunk in in_chunks(list(values), width)])
 
 
@@ -160,7 +192,9 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, parse=f
     """(column, min, max, average, median, std, sum), rounded."""
     values = numeric_values(df, columns, parse)
     medians = quantile_rows(df, values, {"median": 0.5})
-    return numeric_aggregates(df, values).join(F.broadcast(medians), "column").select(
+    parsed = any(kind_of(df.schema[c].dataType) == "text" for c in values)
+    most = PARSED_COLUMNS if parsed else AGG_BUFFERS
+    return numeric_aggregates(df, values, most=most).join(F.broadcast(medians), "column").select(
         "column",
         *[
             F.round(source, digits).alias(out)
@@ -365,7 +399,7 @@ def ratio_types(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
             },
         )
 
-    shares = stacked([part(chunk) for chunk in in_chunks(df.columns)])
+    shares = stacked([part(chunk) for chunk in in_chunks(df.columns, PARSED_COLUMNS)])
     few = F.greatest(F.lit(12), F.ceil(F.col("filled") * 0.2))
     return (
         counts.join(F.broadcast(shares), "column")
@@ -413,7 +447,7 @@ def all_numeric(df: DataFrame) -> DataFrame:
             },
         )
 
-    return stacked([part(chunk) for chunk in in_chunks(df.columns)])
+    return stacked([part(chunk) for chunk in in_chunks(df.columns, PARSED_COLUMNS)])
 
 
 def with_roles(types: DataFrame) -> DataFrame:
@@ -457,30 +491,27 @@ def role_counts(roles: DataFrame) -> DataFrame:
 def full_profile(df: DataFrame, order_by, rules: TypeRules = PROFILER, top_k: int = 10) -> DataFrame:
     """One row per column with everything the reports need.
 
-    Numeric fields are filled for numeric columns, `top_values` for
-    categorical ones.
+    The types, one row per column, are fetched first: only numeric columns are
+    then parsed and summarised, and only categorical ones (at most 50 values)
+    are ranked, so no long text is parsed or shuffled for nothing.
     """
-    counts = column_counts(df)
-    types = detected_types(df, order_by, rules, counts)
-    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-    candidates = [c for c, k in kinds.items() if k in ("numeric", "text")]
-    numbers = numeric_profile(df, candidates, rules.parse) if candidates else None
-    texts = [c for c, k in kinds.items() if k == "text"]
-    out = types
-    if numbers is not None:
-        out = out.join(F.broadcast(numbers), "column", "left")
-        for field in ("min", "max", "average", "median", "std", "sum"):
-            out = out.withColumn(field, F.when(F.col("detected_type") == "numeric", F.col(field)))
-    if texts:
+    types = detected_types(df, order_by, rules)
+    known = types.collect()
+    out = df.sparkSession.createDataFrame(known, types.schema)
+    numbers = [r["column"] for r in known if r["detected_type"] == "numeric"]
+    categories = [r["column"] for r in known if r["detected_type"] == "categorical"]
+    if numbers:
+        out = out.join(F.broadcast(numeric_profile(df, numbers, rules.parse)), "column", "left")
+    else:
+        out = out.select("*", *[F.lit(None).cast("double").alias(f) for f in NUMERIC_FIELDS])
+    if categories:
         tops = (
-            top_values(df, texts, top_k)
+            top_values(df, categories, top_k)
             .groupBy("column")
             .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top_values"))
         )
-        out = out.join(F.broadcast(tops), "column", "left").withColumn(
-            "top_values", F.when(F.col("detected_type") == "categorical", F.col("top_values"))
-        )
-    return out
+        return out.join(F.broadcast(tops), "column", "left")
+    return out.withColumn("top_values", F.lit(None).cast("array<struct<rank:int,value:string,n:bigint>>"))
 
 
 # ---------------------------------------------------------------- domain

@@ -80,7 +80,7 @@ def sessions(df: DataFrame, user: str, ts: str, gap_seconds: int, chunk_seconds:
         df.where(cell(ts).isNotNull())
         .groupBy(cell(user).alias(user), F.unix_micros(cell(ts).cast("timestamp")).alias("_t"))
         .agg(F.count("*").alias("_n"))
-        .withColumn("_chunk", F.floor(F.col("_t") / chunk))
+        .withColumn("_chunk", F.col("_t") - F.pmod(F.col("_t"), F.lit(chunk)))
     )
     inside = W.partitionBy(user, "_chunk").orderBy("_t")
     parts = (

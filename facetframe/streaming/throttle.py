@@ -80,13 +80,15 @@ def _exit_maps(keys: Sequence[str], gap: int, chunk: int, schema: pa.Schema):
         for batch in batches:
             firsts = batch.column("_first").to_pylist()
             times = batch.column("_t").to_pylist()
+            numbers = batch.column("_chunk").to_pylist()
+            key_lists = [batch.column(k).to_pylist() for k in keys]
             out: list[tuple] = []
             for i, t in enumerate(times):
                 if firsts[i]:
                     if held is not None:
                         out += [(*key, number, s, e) for s, e in held.rows()]
-                    key = tuple(batch.column(k)[i].as_py() for k in keys)
-                    number = batch.column("_chunk")[i].as_py()
+                    key = tuple(column[i] for column in key_lists)
+                    number = numbers[i]
                     held = _ChunkMap(number * chunk, gap)
                 held.add(t)
             if out:
@@ -105,13 +107,14 @@ def _entries(keys: Sequence[str], schema: pa.Schema):
             numbers = batch.column("_chunk").to_pylist()
             starts = batch.column("_start").to_pylist()
             exits = batch.column("_exit").to_pylist()
+            key_lists = [batch.column(k).to_pylist() for k in keys]
             out: list[tuple] = []
             for i in range(batch.num_rows):
                 if firsts[i]:
                     allowed, number = None, None
                 if numbers[i] != number:
                     number, settled = numbers[i], False
-                    out.append((*(batch.column(k)[i].as_py() for k in keys), number, allowed))
+                    out.append((*(column[i] for column in key_lists), number, allowed))
                 if not settled and (allowed is None or starts[i] >= allowed):
                     allowed, settled = exits[i], True
             if out:
@@ -161,14 +164,17 @@ def throttle(
     gap = gap_ms * 1000
     chunk = max(chunk_ms * 1000 if chunk_ms else CHUNK_GAPS * gap, gap)
     keys, columns = list(keys), df.columns
-    moment = F.unix_micros(cell(ts).cast("timestamp"))
+    moment = F.unix_micros(cell(ts).cast("timestamp")).alias("_t")
+    number = F.expr(f"(_t - pmod(_t, {chunk}L)) div {chunk}L").alias("_chunk")
+    timed = df.where(cell(ts).isNotNull())
+    # Copies at one moment are reduced before the shuffle. The first pass needs
+    # the moments alone, the last one also the rows.
+    moments = timed.select(*map(cell, keys), moment).distinct().select("*", number)
     record = F.struct(*[cell(c) for c in columns])
-    # Copies at one moment are reduced before the shuffle.
     single = (
-        df.where(cell(ts).isNotNull())
-        .groupBy(*[cell(k) for k in keys], moment.alias("_t"))
+        timed.groupBy(*map(cell, keys), moment)
         .agg(F.min_by(record, cell(tie_break)).alias("_r"))
-        .select("_r.*", "_t", F.floor(F.col("_t") / chunk).cast("long").alias("_chunk"))
+        .select("_r.*", "_t", number)
     )
     by_chunk = W.partitionBy(*map(cell, keys), F.col("_chunk")).orderBy("_t")
     by_key = W.partitionBy(*map(cell, keys)).orderBy("_chunk", "_start")
@@ -179,8 +185,7 @@ def throttle(
     entry_type = T.StructType([*key_fields, T.StructField("_chunk", long), T.StructField("_entry", long)])
 
     maps = (
-        single.select(*map(cell, keys), "_chunk", "_t")
-        .withColumn("_first", F.row_number().over(by_chunk) == 1)
+        moments.withColumn("_first", F.row_number().over(by_chunk) == 1)
         .mapInArrow(_exit_maps(keys, gap, chunk, to_arrow_schema(map_type)), map_type)
     )
     entries = maps.withColumn("_first", F.row_number().over(by_key) == 1).mapInArrow(
