@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from facetframe.functions.text import key_form, link_form, question_form, spaced_form, strip, value_form
-from facetframe.operators.frames import cell, order_columns, with_one_row
+from facetframe.operators.frames import cell, long_cells, order_columns, with_one_row
+from facetframe.operators.profile import column_counts
 
 # The words of each rule, in the order they are tried.
 TREND_WORDS = "trend|timeline|over time|monthly|daily|yearly|by month|by year"
@@ -273,18 +274,16 @@ def alias_mentions(
 def low_cardinality_values(df: DataFrame, columns: Sequence[str], at_most: int = 24) -> DataFrame:
     """(column, value): distinct non-blank values of columns that have few.
 
-    Per column only `at_most + 1` values pass the shuffle of the ranking, so a
-    column with many is recognised without collecting it.
+    The columns are chosen by their exact counts (one row per column reaches
+    the driver), which shuffle digests of long texts; only the values of the
+    chosen ones, `at_most` each, are then gathered.
     """
-    cells = df.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), strip(cell(c)).alias("value")) for c in columns]))
-    ).where(F.col("value") != "")
-    ranked = cells.distinct().withColumn(
-        "_rank", F.row_number().over(W.partitionBy("column").orderBy("value"))
-    )
-    few = ranked.where(F.col("_rank") <= at_most + 1)
-    sized = few.withColumn("_k", F.max("_rank").over(W.partitionBy("column")))
-    return sized.where(F.col("_k") <= at_most).select("column", "value")
+    counts = column_counts(df, columns, blank_is_missing=True)
+    few = [r["column"] for r in counts.where(F.col("unique_count") <= at_most).collect()]
+    if not few:
+        return df.sparkSession.createDataFrame([], "column string, value string")
+    cells = long_cells(df, few).select("column", strip(F.col("value")).alias("value"))
+    return cells.where(F.col("value") != "").distinct()
 
 
 def value_mentions(

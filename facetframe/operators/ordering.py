@@ -2,8 +2,8 @@
 
 Rows are range-partitioned on the order key, sorted inside each partition and
 materialised reliably. The partition sizes (one row per partition) then shift
-each partition's own numbering. The order key should be total: rows that share
-a key all fall into one range.
+each partition's own numbering. Rows that share an order key keep their order
+of reading, by an extra key that also lets a frequent key span many ranges.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ LOW_BITS = 33
 
 
 def _ranged(df: DataFrame, order_by, partitions: int | None) -> DataFrame:
-    keys = order_columns(order_by)
+    keys = [*order_columns(order_by), F.col("_tie")]
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie")
     return checkpointed(ranged.withColumn("_id", F.monotonically_increasing_id())).withColumn(
         "_range", F.shiftright("_id", LOW_BITS)
     )

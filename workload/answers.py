@@ -297,6 +297,7 @@ def _(spark, folder):
 
 
 HAS = "regexp_matches(lower(question), '{}')"
+INTENT = "CASE conv_id % 4 WHEN 0 THEN 'trend' WHEN 1 THEN 'correlation' WHEN 2 THEN 'distribution' ELSE 'count' END"
 
 
 @query(
@@ -305,11 +306,23 @@ HAS = "regexp_matches(lower(question), '{}')"
           CASE WHEN {HAS.format('trend|over time|timeline|by year|by month')} THEN 'line'
                WHEN {HAS.format('distribution|breakdown|share|proportion')} THEN CASE WHEN turn + 4 <= 8 THEN 'pie' ELSE 'bar' END
                WHEN {HAS.format('scatter|relationship|correlation')} THEN 'scatter'
-               WHEN turn + 4 <= 6 AND {HAS.format('percent|share')} THEN 'pie' ELSE 'bar' END AS chart FROM asked""",
+               WHEN turn + 4 <= 6 AND {HAS.format('percent|share')} THEN 'pie' ELSE 'bar' END AS by_words,
+          CASE WHEN {HAS.format('pie')} THEN 'pie' WHEN {INTENT} = 'trend' THEN 'line' WHEN {INTENT} = 'correlation' THEN 'scatter'
+               WHEN {INTENT} = 'distribution' AND turn + 4 <= 6 THEN 'pie' ELSE 'bar' END AS by_intent,
+          CASE WHEN {INTENT} = 'trend' THEN 'line' WHEN {HAS.format('pie')} THEN 'pie' ELSE 'bar' END AS local FROM asked""",
 )
 def _(spark, folder):
-    kind = charts.chart_type_of(F.col("question"), F.col("turn") + 4, F.lit(True))
-    return asked(spark, folder).select("conv_id", "turn", kind.alias("chart"))
+    text, size = F.col("question"), F.col("turn") + 4
+    turn = F.col("conv_id") % 4
+    intent = F.when(turn == 0, "trend").when(turn == 1, "correlation").when(turn == 2, "distribution").otherwise("count")
+    requested = F.when(F.lower(text).contains("pie"), "pie")
+    return asked(spark, folder).select(
+        "conv_id",
+        "turn",
+        charts.chart_type_of(text, size, F.lit(True)).alias("by_words"),
+        charts.chart_type_by_intent(intent, requested, size).alias("by_intent"),
+        charts.local_chart_type(text, intent).alias("local"),
+    )
 
 
 @query(
