@@ -44,9 +44,15 @@ def group_metric(
     fall back to the count where a group has no number. Without a dimension
     there is one row, labelled `Result`.
     """
-    label = known_label(cell(dimension)) if dimension else F.lit("Result")
+    if dimension is None:
+        group, label = F.lit("Result"), F.col("label")
+    elif _kind(df, dimension) == "text":
+        group, label = known_label(cell(dimension)), F.col("label")
+    else:
+        # Numbers and dates are grouped as they are and written out per group.
+        group, label = cell(dimension), known_label(F.col("label"))
     number = number_in(df, measure) if measure else F.lit(None).cast("double")
-    rows = df.select(label.alias("label"), number.cast("double").alias("number"))
+    rows = df.select(group.alias("label"), number.cast("double").alias("number"))
     total = F.coalesce(F.sum("number"), F.lit(0.0))
     values = {
         "count": F.count("*").cast("double"),
@@ -55,7 +61,7 @@ def group_metric(
         "min": F.coalesce(F.min("number"), F.count("*").cast("double")),
         "max": F.coalesce(F.max("number"), F.count("*").cast("double")),
     }
-    grouped = rows.groupBy("label").agg(values[metric].alias("value"))
+    grouped = rows.groupBy("label").agg(values[metric].alias("value")).select(label.alias("label"), "value")
     return _ordered(grouped, direction, limit)
 
 

@@ -16,7 +16,6 @@ from facetframe.operators.frames import (
     cell,
     in_chunks,
     kind_of,
-    long_cells,
     numeric_columns,
     order_columns,
     rows_of,

@@ -7,7 +7,6 @@ callers pass it through `settled_profile` once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from facetframe.functions.text import title_label
 from facetframe.operators import charts
 from facetframe.operators.aggregate import segmentation
-from facetframe.operators.frames import cell, numeric_columns, rows_of, stacked
+from facetframe.operators.frames import cell, numeric_columns, stacked
 from facetframe.operators.profile import (
     PROFILER,
     REPORT,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from facetframe.operators import aggregate, charts, profile, stats
+from facetframe.operators import charts, profile
 from facetframe.plans import questions
 from workload.base import ASKED_SQL, DIRTY_SQL, MIXED_COLUMNS, MIXED_SQL, asked, dirty, mixed, query, table
 from workload.loading import LENIENT_SQL, LENIENT_VALUE, STRICT_SQL
