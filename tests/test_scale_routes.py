@@ -35,9 +35,6 @@ def test_chunk_maps_compose_to_the_chain(times, gap, factor):
         held = _ChunkMap(number * size, gap)
         for t in chunk:
             held.add(t)
-        for t in chunk:
-            if allowed is None or t >= allowed:
-                pass
         exits = [e for s, e in held.rows() if allowed is None or s >= allowed]
         inner = allowed
         for t in chunk:
@@ -52,8 +49,8 @@ def test_chunk_maps_compose_to_the_chain(times, gap, factor):
     assert kept == chain(times, gap)
 
 
-@pytest.mark.parametrize("chunk_ms", [None, 750, 1000, 5000])
-def test_throttle(spark, chunk_ms):
+@pytest.mark.parametrize("chunk_ms,hot_rows", [(None, 10**6), (750, 0), (1000, 45), (5000, 0)])
+def test_throttle(spark, chunk_ms, hot_rows):
     rng = random.Random(7)
     rows, number = [], 0
     for key, n, span in (("hot", 3000, 400_000), ("cold", 40, 90_000), ("once", 1, 10), (None, 50, 20_000)):
@@ -61,7 +58,7 @@ def test_throttle(spark, chunk_ms):
             rows.append((number, key, rng.randrange(span)))
             number += 1
     df = spark.createDataFrame(rows, "id long, page string, ms long").withColumn("ts", F.timestamp_millis("ms"))
-    kept = throttle(df, ["page"], "ts", "id", 750, chunk_ms).collect()
+    kept = throttle(df, ["page"], "ts", "id", 750, chunk_ms, hot_rows).collect()
     for key in {r[1] for r in rows}:
         wanted = chain({r[2] for r in rows if r[1] == key}, 750)
         assert sorted(r["ms"] for r in kept if r["page"] == key) == wanted

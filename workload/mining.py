@@ -244,14 +244,16 @@ def _throttle_sql(keys, gap_seconds):
 
 @query("e1_throttle_per_user", _throttle_sql(["user_id", "event_type"], 21600))
 def _(spark, folder):
-    kept = throttle(table(spark, folder, "events"), ["user_id", "event_type"], "ts", "event_id", 6 * HOUR_MS, 24 * HOUR_MS)
+    kept = throttle(table(spark, folder, "events"), ["user_id", "event_type"], "ts", "event_id", 6 * HOUR_MS)
     return kept.select("event_id")
 
 
 @query("e1_throttle_hot_keys", _throttle_sql(["event_type"], 1800))
 def _(spark, folder):
     # Five keys hold all rows: each is spread over its chunks.
-    kept = throttle(table(spark, folder, "events"), ["event_type"], "ts", "event_id", HOUR_MS // 2, 4 * HOUR_MS)
+    kept = throttle(
+        table(spark, folder, "events"), ["event_type"], "ts", "event_id", HOUR_MS // 2, 4 * HOUR_MS, hot_rows=100
+    )
     return kept.select("event_id")
 
 
