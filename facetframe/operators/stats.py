@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,11 +32,10 @@ def pearson(a, b) -> Column:
     return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b)))
 
 
-def _pair_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r) for a before b; each pair over the rows that have both values."""
+def _pair_rows(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(a, b, r); each pair over the rows that have both values."""
     at = {c: i for i, c in enumerate(columns)}
     numbers = df.select(*[without_nan(cell(c)).alias(f"v{i}") for c, i in at.items()])
-    pairs = list(combinations(columns, 2))
 
     def part(chunk) -> DataFrame:
         wide = numbers.agg(
@@ -56,25 +55,13 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: in
     columns = list(columns or numeric_columns(df))
     if len(columns) < 2:
         raise ValueError("a correlation matrix needs two numeric columns")
-    upper = _pair_rows(df, columns)
-    # Each pair appears both ways and each column with itself, from one scan.
-    both = upper.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("r").alias("r")),
-                F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("r").alias("r")),
-            )
-        )
-    ).select("a", "b", F.round(F.coalesce("r", F.lit(0.0)), digits).alias("r"))
-    varied = df.agg(*[F.coalesce(F.var_pop(without_nan(cell(c))) > 0, F.lit(False)).alias(f"ok{i}") for i, c in enumerate(columns)])
-    at = {c: i for i, c in enumerate(columns)}
-    diagonal = rows_of(
-        varied,
-        columns,
-        {"b": lambda c: F.lit(c), "r": lambda c: F.when(F.col(f"ok{at[c]}"), 1.0).otherwise(0.0)},
-        label="a",
-    )
-    return both.unionByName(diagonal)
+    half = _pair_rows(df, columns, list(combinations_with_replacement(columns, 2)))
+    # A pair is computed once and shown both ways.
+    one_way = F.struct(F.col("a").alias("a"), F.col("b").alias("b"))
+    other_way = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(one_way)).otherwise(F.array(one_way, other_way))
+    r = F.round(F.coalesce("r", F.lit(0.0)), digits)
+    return half.select(F.inline(ways), r.alias("r"))
 
 
 def strong_pairs(
@@ -88,7 +75,7 @@ def strong_pairs(
     columns = list(columns or numeric_columns(df))
     r = F.col("r")
     found = (
-        _pair_rows(df, columns)
+        _pair_rows(df, columns, list(combinations(columns, 2)))
         .where(F.abs(r) > above)
         .select(
             F.col("a").alias("column_a"),
@@ -110,78 +97,88 @@ def strong_pairs(
 # ---------------------------------------------------------------- outliers
 
 
-def _fences(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """One row: q_i = [q1, q3] of each column."""
+def fences(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[float, float] | None]:
+    """Quartiles of each column, None if it is empty.
+
+    They are two numbers per column; as literals they let the filters that
+    follow reach the scan.
+    """
     safe = {f"q{i}": v for i, v in enumerate(values.values())}
-    return exact_quantiles(df, safe, [0.25, 0.75])
+    row = exact_quantiles(df, safe, [0.25, 0.75]).first()
+    return {name: tuple(row[i]) if row[i] else None for i, name in enumerate(values)}
 
 
-def _iqr_bounds(i: int) -> tuple[Column, Column]:
-    q1, q3 = F.col(f"q{i}")[0], F.col(f"q{i}")[1]
-    return q1 - (q3 - q1) * 1.5, q3 + (q3 - q1) * 1.5
+def _iqr_bounds(quartiles: tuple[float, float] | None) -> tuple[Column, Column]:
+    if quartiles is None:
+        return F.lit(None).cast("double"), F.lit(None).cast("double")
+    q1, q3 = quartiles
+    return F.lit(q1 - (q3 - q1) * 1.5), F.lit(q3 + (q3 - q1) * 1.5)
 
 
-def outliers(df: DataFrame, columns: Sequence[str] | None = None, method: str = "iqr") -> DataFrame:
-    """(column, method, n, outlier_count, outlier_pct, q1, q3, lower, upper).
+def outliers(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    method: str = "iqr",
+    quartiles: dict[str, tuple[float, float] | None] | None = None,
+) -> DataFrame:
+    """(column, method, n, outlier_count, outlier_pct, lower, upper[, q1, q3, iqr]).
 
     `zscore` marks by the population deviation and reports bounds by the
-    sample deviation. All columns share one pass once the bounds, a single
-    row, are known. Fewer than four values: none, and no bounds.
+    sample deviation. All columns share one pass once their bounds are known.
+    Fewer than four values: none, and no bounds.
     """
     if method not in ("iqr", "zscore"):
         raise ValueError("method must be iqr or zscore")
     values = numeric_values(df, columns)
     names = list(values)
     numbers = df.select(*[without_nan(v).alias(f"v{i}") for i, v in enumerate(values.values())])
+    n = [F.col(f"n{i}") for i in range(len(names))]
+    counts = [F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]
     if method == "iqr":
-        bounds = _fences(df, values)
+        quartiles = fences(df, values) if quartiles is None else quartiles
+        bounds = [_iqr_bounds(quartiles[c]) for c in names]
+        wide = numbers.agg(
+            *counts,
+            *[F.count_if((F.col(f"v{i}") < b[0]) | (F.col(f"v{i}") > b[1])).alias(f"o{i}") for i, b in enumerate(bounds)],
+        )
     else:
-        bounds = numbers.agg(
+        level = numbers.agg(
             *[F.avg(f"v{i}").alias(f"m{i}") for i in range(len(names))],
             *[F.stddev_pop(f"v{i}").alias(f"p{i}") for i in range(len(names))],
             *[F.stddev_samp(f"v{i}").alias(f"s{i}") for i in range(len(names))],
         )
-
-    def marked(i: int) -> Column:
-        v = F.col(f"v{i}")
-        if method == "iqr":
-            low, high = _iqr_bounds(i)
-            return (v < low) | (v > high)
-        return F.try_divide(F.abs(v - F.col(f"m{i}")), F.col(f"p{i}")) > 3
-
-    def edge(i: int, side: int) -> Column:
-        if method == "iqr":
-            return _iqr_bounds(i)[side]
-        return F.col(f"m{i}") + (3 if side else -3) * F.col(f"s{i}")
-
-    keep = [c for c in bounds.columns]
-    wide = (
-        with_one_row(numbers, bounds)
-        .groupBy(*keep)
-        .agg(
-            *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
-            *[F.count_if(marked(i)).alias(f"o{i}") for i in range(len(names))],
+        far = [F.try_divide(F.abs(F.col(f"v{i}") - F.col(f"m{i}")), F.col(f"p{i}")) > 3 for i in range(len(names))]
+        wide = (
+            with_one_row(numbers, level)
+            .groupBy(*level.columns)
+            .agg(*counts, *[F.count_if(f).alias(f"o{i}") for i, f in enumerate(far)])
         )
-    )
+        bounds = [(F.col(f"m{i}") - F.col(f"s{i}") * 3, F.col(f"m{i}") + F.col(f"s{i}") * 3) for i in range(len(names))]
     at = {c: i for i, c in enumerate(names)}
 
-    def enough(i: int, c: Column) -> Column:
-        return F.when(F.col(f"n{i}") >= 4, c)
+    def enough(c: str, value: Column) -> Column:
+        return F.when(n[at[c]] >= 4, value)
+
+    def found(c: str) -> Column:
+        return F.col(f"o{at[c]}")
 
     fields = {
         "method": lambda c: F.lit(method),
-        "n": lambda c: F.col(f"n{at[c]}"),
-        "outlier_count": lambda c: F.coalesce(enough(at[c], F.col(f"o{at[c]}")), F.lit(0).cast("long")),
-        "outlier_pct": lambda c: F.coalesce(
-            enough(at[c], F.round(F.col(f"o{at[c]}") * 100.0 / F.col(f"n{at[c]}"), 2)), F.lit(0.0)
-        ),
-        "lower": lambda c: enough(at[c], F.round(edge(at[c], 0), 4)),
-        "upper": lambda c: enough(at[c], F.round(edge(at[c], 1), 4)),
+        "n": lambda c: n[at[c]],
+        "outlier_count": lambda c: F.coalesce(enough(c, found(c)), F.lit(0).cast("long")),
+        "outlier_pct": lambda c: F.coalesce(enough(c, F.round(found(c) * 100.0 / n[at[c]], 2)), F.lit(0.0)),
+        "lower": lambda c: enough(c, F.round(bounds[at[c]][0], 4)),
+        "upper": lambda c: enough(c, F.round(bounds[at[c]][1], 4)),
     }
     if method == "iqr":
-        fields["q1"] = lambda c: enough(at[c], F.round(F.col(f"q{at[c]}")[0], 4))
-        fields["q3"] = lambda c: enough(at[c], F.round(F.col(f"q{at[c]}")[1], 4))
-        fields["iqr"] = lambda c: enough(at[c], F.round(F.col(f"q{at[c]}")[1] - F.col(f"q{at[c]}")[0], 4))
+
+        def quartile(c: str, pick) -> Column:
+            known = quartiles[c]
+            return enough(c, F.round(F.lit(float(pick(*known)) if known else None).cast("double"), 4))
+
+        fields["q1"] = lambda c: quartile(c, lambda q1, q3: q1)
+        fields["q3"] = lambda c: quartile(c, lambda q1, q3: q3)
+        fields["iqr"] = lambda c: quartile(c, lambda q1, q3: q3 - q1)
     return rows_of(wide, names, fields)
 
 
@@ -192,12 +189,8 @@ def total_outliers(found: DataFrame) -> DataFrame:
 def outlier_rows(df: DataFrame, column: str, order_by, limit: int | None = 100) -> DataFrame:
     """The rows outside the fences, first `limit` by the order key (None: all)."""
     value = numeric_values(df, [column])[column]
-    low, high = _iqr_bounds(0)
-    marked = (
-        with_one_row(df.withColumn("_v", without_nan(value)), _fences(df, {column: value}))
-        .where((F.col("_v") < low) | (F.col("_v") > high))
-        .select(*[cell(c) for c in df.columns])
-    )
+    low, high = _iqr_bounds(fences(df, {column: value})[column])
+    marked = df.where(((value < low) | (value > high)) & ~F.isnan(value))
     return marked.orderBy(*order_columns(order_by)).limit(limit) if limit else marked
 
 
@@ -208,14 +201,14 @@ def anomalies(df: DataFrame, columns: Sequence[str], order_by, samples: int = 5,
     """
     chosen = list(columns)[:5]
     values = numeric_values(df, chosen)
-    found = outliers(df, chosen).where((F.col("n") > 10) & (F.col("outlier_count") > 0))
-    fences = _fences(df, values)
+    quartiles = fences(df, values)
+    found = outliers(df, chosen, quartiles=quartiles).where((F.col("n") > 10) & (F.col("outlier_count") > 0))
     parts = []
-    for i, (name, value) in enumerate(values.items()):
-        low, high = _iqr_bounds(i)
+    for name, value in values.items():
+        low, high = _iqr_bounds(quartiles[name])
         parts.append(
-            with_one_row(df.select(F.struct(*order_columns(order_by)).alias("_at"), without_nan(value).alias("v")), fences)
-            .where((F.col("v") < low) | (F.col("v") > high))
+            df.where(((value < low) | (value > high)) & ~F.isnan(value))
+            .select(F.struct(*order_columns(order_by)).alias("_at"), value.alias("v"))
             .orderBy("_at", "v")
             .limit(samples)
             .select(F.lit(name).alias("column"), "_at", F.round("v", digits).alias("v"))
