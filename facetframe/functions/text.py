@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 
 BLANKS = " \t\n\r\u000b\u000c ﻿"
 
+LONG_TEXT = 64
+
 
 def strip(c: Column) -> Column:
     """Trim white space of every kind, not only the space character."""
@@ -16,6 +18,15 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
+def is_long(c: Column) -> Column:
+    return F.length(c) > LONG_TEXT
+
+
+def short_form(c: Column) -> Column:
+    """The text itself, or the digest of a long one: what a shuffle should carry."""
+    return F.when(is_long(c), F.sha2(c, 256)).otherwise(c)
+
+
 def key_form(c: Column) -> Column:
     """`Unit Price ($)` -> `unit_price`."""
     lowered = F.lower(strip(F.coalesce(c.cast("string"), F.lit(""))))

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from facetframe.functions.numbers import without_nan
+from facetframe.functions.text import LONG_TEXT, is_long, short_form
 from facetframe.operators.frames import cell, long_cells, order_columns, text_columns
 
 
@@ -79,28 +80,61 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [filled(c) for c in columns]))
 
 
-def sample_values(df: DataFrame, columns: Sequence[str], k: int = 5, order_by=None, keep: Sequence[str] = ()) -> DataFrame:
+def sample_values(df: DataFrame, columns: Sequence[str], k: int = 5, order_by=None) -> DataFrame:
     """(column, samples): up to k distinct values of each column.
 
     With `order_by` the values seen first, else the smallest. The limit per
-    column is pushed below the shuffle, so no list is longer than k.
+    column is pushed below the shuffle of the ranking, so no list is longer
+    than k. Long texts are ranked by a digest or by their first characters;
+    only those that make the list are read again in full.
     """
-    if order_by is None:
-        distinct = long_cells(df, columns).where(F.col("value").isNotNull()).distinct()
-        rank = W.partitionBy("column").orderBy("value")
-    else:
-        keyed = df.withColumn("_at", F.struct(*order_columns(order_by)))
-        distinct = (
-            long_cells(keyed, columns, keep=["_at"])
-            .where(F.col("value").isNotNull())
-            .groupBy("column", "value")
-            .agg(F.min("_at").alias("_at"))
-        )
-        rank = W.partitionBy("column").orderBy("_at", "value")
+    ranked = _first_seen(df, columns, k, order_by) if order_by is not None else _smallest(df, columns, k)
     return (
-        distinct.withColumn("_rank", F.row_number().over(rank))
-        .where(F.col("_rank") <= k)
-        .groupBy("column")
+        ranked.groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "value"))).alias("_ranked"))
         .select("column", F.col("_ranked.value").alias("samples"))
     )
+
+
+def _first_seen(df: DataFrame, columns: Sequence[str], k: int, order_by) -> DataFrame:
+    keyed = df.withColumn("_at", F.struct(*order_columns(order_by)))
+    cells = long_cells(keyed, columns, keep=["_at"]).where(F.col("value").isNotNull())
+    marked = cells.select("*", short_form(F.col("value")).alias("_key"), is_long(F.col("value")).alias("_long"))
+    rank = W.partitionBy("column").orderBy("_at", "_key")
+    firsts = (
+        marked.groupBy("column", "_key", "_long")
+        .agg(F.min("_at").alias("_at"))
+        .withColumn("_rank", F.row_number().over(rank))
+        .where(F.col("_rank") <= k)
+    )
+    short = firsts.where(~F.col("_long")).select("column", "_rank", F.col("_key").alias("value"))
+    wanted = firsts.where("_long").select("column", "_key", "_at", "_rank")
+    long = (
+        marked.where("_long")
+        .join(F.broadcast(wanted), ["column", "_key", "_at"])
+        .groupBy("column", "_rank")
+        .agg(F.min("value").alias("value"))
+    )
+    return short.unionByName(long)
+
+
+def _smallest(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    cells = long_cells(df, columns).where(F.col("value").isNotNull())
+    start = F.substring("value", 1, LONG_TEXT)
+    marked = cells.select("*", start.alias("_key"), is_long(F.col("value")).alias("_long"))
+    # A start comes before all longer texts that share it, so the first k groups
+    # hold the first k values.
+    rank = W.partitionBy("column").orderBy("_key", "_long")
+    groups = (
+        marked.select("column", "_key", "_long")
+        .distinct()
+        .withColumn("_rank", F.row_number().over(rank))
+        .where(F.col("_rank") <= k)
+    )
+    short = groups.where(~F.col("_long")).select("column", F.col("_key").alias("value"))
+    wanted = groups.where("_long").select("column", "_key")
+    long = marked.where("_long").join(F.broadcast(wanted), ["column", "_key"]).select("column", "value").distinct()
+    order = W.partitionBy("column").orderBy("value")
+    return (
+        short.unionByName(long).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    )

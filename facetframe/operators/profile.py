@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from facetframe.functions.dates import DATE_SHAPES, REPORT_DATE_SHAPES, lenient_timestamp, looks_like_date
 from facetframe.functions.numbers import finite, formatted_number, strict_number, without_nan
-from facetframe.functions.text import blank_to_null, key_form
+from facetframe.functions.text import blank_to_null, key_form, short_form
 from facetframe.operators.frames import (
     AGG_BUFFERS,
     cell,
@@ -24,7 +24,6 @@ from facetframe.operators.frames import (
 )
 from facetframe.operators.quantiles import exact_quantiles
 
-LONG_TEXT = 64
 # Columns whose texts are parsed in one aggregate; more make its code too long to compile.
 PARSED_COLUMNS = 2
 
@@ -66,7 +65,7 @@ def column_counts(df: DataFrame, columns: Sequence[str] | None = None, blank_is_
             value = F.when(~F.isnan(value), value)
         if kind == "string":
             value = blank_to_null(value) if blank_is_missing else value
-            value = F.when(F.length(value) > LONG_TEXT, F.sha2(value, 256)).otherwise(value)
+            value = short_form(value)
         return (
             cells.select("column", value.alias("value"))
             .groupBy("column", "value")

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from facetframe.operators import cleaning
 from facetframe.operators.normality import normal_quantile, normal_upper_tail, normality
 from facetframe.operators.ordering import numbered, running_total
 from facetframe.operators.quantiles import exact_quantiles
@@ -139,6 +140,20 @@ def test_order_without_one_task(spark):
         assert totals[i] == pytest.approx(run)
 
 
+@pytest.mark.parametrize("k", [1, 3, 6])
+def test_samples_of_long_texts(spark, k):
+    rng = random.Random(11)
+    starts = ["", "a" * 64, "a" * 63 + "b", "é" * 70, "b"]
+    values = [s + t for s in starts for t in ("", "x", "y" * 80, "z")]
+    rows = [(i, rng.choice(values + [None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, v string").repartition(3)
+    seen = [v for v in dict.fromkeys(v for _, v in rows) if v is not None]
+    got = cleaning.sample_values(df, ["v"], k, order_by="id").first()["samples"]
+    assert got == seen[:k]
+    smallest = sorted(set(seen), key=lambda v: v.encode("utf8"))[:k]
+    assert cleaning.sample_values(df, ["v"], k).first()["samples"] == smallest
+
+
 def test_latest_per_key(spark):
     rows = [(i % 5, i, f"v{i}") for i in range(200)]
     df = spark.createDataFrame(rows, "k int, at int, v string")
