@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetframe.llm import decontaminate, sharding, url_templates
+from facetframe.llm import decontaminate, packing, sharding, url_templates
 from facetframe.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ URL_RULES = (
 def op9(spark, folder):
     found = url_templates.judged(table(spark, folder, "pages"), URL_RULES)
     return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query("op10_packing")
+def op10(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"))

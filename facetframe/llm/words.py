@@ -59,8 +59,10 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, lis
 class Words:
     """All words of some texts: text number, byte span and hash of each, in order."""
 
-    def __init__(self, texts: list[bytes], members: np.ndarray):
-        self.data = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
+    def __init__(self, texts: list[bytes], members: np.ndarray, lower: bool = True, gap: bytes = b"\n"):
+        self.data = np.frombuffer(gap.join(texts) + gap, dtype=np.uint8)
+        if lower:
+            self.data = LOWER[self.data]
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         ends = np.cumsum(lengths)
         inside = members[self.data].view(np.int8)
