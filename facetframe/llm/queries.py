@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetframe.llm import decontaminate, packing, sharding, url_templates
+from facetframe.llm import decontaminate, near_dup, packing, sharding, url_templates
 from facetframe.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op9(spark, folder):
 @query("op10_packing")
 def op10(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query("op6_near_duplicates")
+def op6(spark, folder):
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
