@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetframe.llm import decontaminate, near_dup, packing, sharding, url_templates
+from facetframe.llm import decontaminate, fertility, language, near_dup, packing, sharding, url_templates
 from facetframe.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,22 @@ def op10(spark, folder):
 @query("op6_near_duplicates")
 def op6(spark, folder):
     return near_dup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op7_fertility")
+def op7(spark, folder):
+    return fertility.judged(table(spark, folder, "documents"))
+
+
+def fold(key, n: int):
+    """crc32 of a key as text, modulo n; a null key counts as an empty text."""
+    return F.pmod(F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")), F.lit(n))
+
+
+@query("op3_language")
+def op3(spark, folder):
+    documents = table(spark, folder, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    learn = documents.where(~held_out).select("text", "lang")
+    rows = documents.select("doc_id", held_out.alias("held_out"), "text")
+    return language.predicted(rows, learn, ["doc_id", "held_out"])
