@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetframe.llm import decontaminate, fertility, language, near_dup, packing, sharding, url_templates
+from facetframe.llm import decontaminate, fertility, language, near_dup, packing, sharding, toxicity, url_templates
 from facetframe.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,16 @@ def op3(spark, folder):
     learn = documents.where(~held_out).select("text", "lang")
     rows = documents.select("doc_id", held_out.alias("held_out"), "text")
     return language.predicted(rows, learn, ["doc_id", "held_out"])
+
+
+def toxicity_model(documents, labels):
+    """Learned from the rows outside the held-out fold only."""
+    return toxicity.fitted(documents, labels.where(fold(F.col("doc_id"), 5) != 0))
+
+
+@query("op2_toxicity")
+def op2(spark, folder):
+    documents = table(spark, folder, "documents")
+    model = toxicity_model(documents, table(spark, folder, "labels"))
+    rows = documents.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    return toxicity.scored(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
