@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetframe.llm import decontaminate, fertility, language, near_dup, packing, sharding, toxicity, url_templates
+from facetframe.llm import decontaminate, fertility, html_region, language, near_dup, packing, sharding, toxicity, url_templates
 from facetframe.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,9 @@ def op2(spark, folder):
     model = toxicity_model(documents, table(spark, folder, "labels"))
     rows = documents.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return toxicity.scored(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op1_html_extraction")
+def op1(spark, folder):
+    texts = html_region.extracted(table(spark, folder, "pages"), ["page_id", "url"])
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
