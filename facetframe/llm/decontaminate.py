@@ -313,6 +313,15 @@ def benchmark_hits(
     return rows.mapInArrow(lambda batches: _merge(batches, n_blocks, names, n_kept), out)
 
 
+def clean(documents: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents, with their own columns, that hold no window of any item."""
+    names = documents.columns
+    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
+    body = f"c{names.index(text)}"
+    found = benchmark_hits(plain, items, text=body, carry=plain.columns, **options)
+    return found.where("n_hit = 0").select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names)])
+
+
 def _machines(held: dict[int, list[tuple[bytes, list[str]]]]) -> tuple[list[Machine], list[str]]:
     labels = sorted({i for group in held.values() for _, items in group for i in items})
     number = {label: i for i, label in enumerate(labels)}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetframe.llm import decontaminate, fertility, html_region, language, near_dup, packing, sharding, toxicity, url_templates
+from facetframe.llm import decontaminate, fertility, html_region, language, near_dup, packing, pii, sharding, toxicity, url_templates
 from facetframe.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,11 @@ def op2(spark, folder):
 def op1(spark, folder):
     texts = html_region.extracted(table(spark, folder, "pages"), ["page_id", "url"])
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+#: The secret of the surrogates; a deployment passes its own.
+PII_KEY = "facetframe"
+
+
+@query("op4_pii_surrogates")
+def op4(spark, folder):
+    return pii.replaced(table(spark, folder, "documents"), PII_KEY)

@@ -321,20 +321,29 @@ def sample(documents: DataFrame, labels: DataFrame, key: str, text: str, label:
     return texts
 
 
-def scored(documents: DataFrame, model: Model, carry: list[str], text: str = "text") -> DataFrame:
-    """Carried columns and ``score`` (0 to 1) of every whole text; null and empty texts are one empty window."""
-    wanted = documents.select(*carry, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
+def scored(documents: DataFrame, model: Model, carry: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """Carried columns and a score (0 to 1) of every whole text, under a name that no carried column has.
+
+    Null and empty texts are one empty window and get its score.
+    """
+    columns = carry if text in carry else [*carry, text]
+    at = columns.index(text)
+    wanted = documents.select(*columns)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[: len(carry)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.texts(held) for _, held in slices(batch.column(batch.num_columns - 1), 1_000_000)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-                names=[*batch.schema.names[:-1], "score"],
-            )
+            scores = [model.texts(held) for _, held in slices(batch.column(at), 1_000_000)]
+            arrays = [batch.column(i) for i in range(len(carry))]
+            arrays.append(pa.array(np.concatenate(scores) if scores else [], pa.float64()))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*carry, name])
+
+    return wanted.mapInArrow(run, ", ".join([*kinds, f"`{name}` double"]))
+
 
-    return wanted.mapInArrow(run, (kinds + ", " if kinds else "") + "score double")
+def clean(documents: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents, with their own columns, whose score is under the least toxic one."""
+    return scored(documents, model, documents.columns, text, "_toxicity").where(F.col("_toxicity") < least).drop("_toxicity")
 
 
 def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
