@@ -58,6 +58,11 @@ _SYLLABLES = {
 }
 
 
+def _let(value: Column, use) -> Column:
+    """Name a value inside an expression, so that it is built and computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _byte(digest: Column, i: Column | int) -> Column:
     at = (i if isinstance(i, Column) else F.lit(i)) % 64
     return F.conv(F.substr(digest, at * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -155,34 +160,52 @@ def _email(key: str, value: Column, draw: Column) -> Column:
 
 def _spoken(kind: Column, digest: Column) -> Column:
     """A word of syllables of the script; the ending follows the gender."""
-    out = F.lit(None).cast("string")
-    for script, (onsets, vowels, endings) in _SYLLABLES.items():
-        pair = lambda i, o=onsets, v=vowels: F.concat(_pick(o, _byte(digest, 2 * i)), _pick(v, _byte(digest, 2 * i + 1)))
-        for gender, tails in endings.items():
-            for part, count in (("given", 2), ("surname", 3)):
-                word = F.concat(*[pair(i) for i in range(count)], _pick(onsets, _byte(digest, 20)), _pick(tails, _byte(digest, 21)))
-                out = F.when(kind == f"{part}_{gender}_{script}", word).otherwise(out)
-    return out
+    script, gender = F.substring_index(kind, "_", -1), F.substring_index(F.substring_index(kind, "_", 2), "_", -1)
+
+    def choose(options) -> Column:
+        out = F.lit(None).cast("array<string>")
+        for name, entry in _SYLLABLES.items():
+            for g in entry[2]:
+                out = F.when((script == name) & (gender == g), F.array(*[F.lit(o) for o in options(entry, g)])).otherwise(out)
+        return out
+
+    def pick(options: Column, i: Column | int) -> Column:
+        return F.element_at(options, F.pmod(_byte(digest, i), F.size(options)).cast("int") + 1)
+
+    def spell(letters: Column) -> Column:
+        syllables = F.transform(
+            F.sequence(F.lit(1), F.when(kind.startswith("given"), 2).otherwise(3)),
+            lambda i: F.concat(pick(letters["onsets"], i * 2), pick(letters["vowels"], i * 2 + 1)),
+        )
+        return F.concat(F.array_join(syllables, ""), pick(letters["onsets"], 20), pick(letters["tails"], 21))
+
+    letters = F.struct(
+        choose(lambda e, g: e[0]).alias("onsets"), choose(lambda e, g: e[1]).alias("vowels"), choose(lambda e, g: e[2][g]).alias("tails")
+    )
+    return _let(letters, spell)
 
 
 def surrogate(key: str, kind: Column, value: Column, draw: Column) -> Column:
     """The canonical surrogate of a canonical value, at its n-th draw."""
-    digest = _digest(key, kind, value, draw)
     hex_only = value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$")
     first = F.substr(value, F.lit(1), F.lit(1))
-    ten = F.concat((_byte(digest, 60) % 8 + 2).cast("string"), _same_shape(F.substr(value, F.lit(2)), digest))
-    return (
-        F.when(kind == "secret", _same_shape(value, digest, hex_only))
-        .when(kind == "key", F.concat(F.substr(value, F.lit(1), F.lit(4)), _same_shape(F.substr(value, F.lit(5)), digest)))
-        .when(kind == "email", _email(key, value, draw))
-        .when(kind == "iban", _iban(value, digest))
-        .when(kind == "ip", _ip(digest))
-        .when(kind == "card", _card(value, digest))
-        .when(kind == "ssn", F.concat((_byte(digest, 61) % 8 + 1).cast("string"), _same_shape(F.substr(value, F.lit(2)), digest)))
-        .when((kind == "phone") & (first >= "2"), ten)
-        .when(kind == "phone", _same_shape(value, digest))
-        .otherwise(_spoken(kind, digest))
-    )
+
+    def drawn(digest: Column) -> Column:
+        rest = lambda n: _same_shape(F.substr(value, F.lit(n)), digest)
+        return (
+            F.when(kind == "secret", _same_shape(value, digest, hex_only))
+            .when(kind == "key", F.concat(F.substr(value, F.lit(1), F.lit(4)), rest(5)))
+            .when(kind == "email", _email(key, value, draw))
+            .when(kind == "iban", _iban(value, digest))
+            .when(kind == "ip", _ip(digest))
+            .when(kind == "card", _card(value, digest))
+            .when(kind == "ssn", F.concat((_byte(digest, 61) % 8 + 1).cast("string"), rest(2)))
+            .when((kind == "phone") & (first >= "2"), F.concat((_byte(digest, 60) % 8 + 2).cast("string"), rest(2)))
+            .when(kind == "phone", _same_shape(value, digest))
+            .otherwise(_spoken(kind, digest))
+        )
+
+    return _let(_digest(key, kind, value, draw), drawn)
 
 
 def kind_of(found: Column) -> Column:
@@ -224,45 +247,51 @@ def _name_words(found: Column) -> Column:
 
 def atoms(found: Column) -> Column:
     """(kind, canonical value) of a find: one for most kinds, one per word for names."""
-    kind = kind_of(found)
     plain = F.regexp_replace(found, "[^0-9A-Za-z]", "")
     octets = F.transform(F.split(found, r"\."), lambda o: o.try_cast("int").cast("string"))
-    value = (
-        F.when(kind == "secret", F.regexp_replace(found, f"^{_SECRET_LEAD}", ""))
-        .when(kind == "email", F.lower(found))
-        .when(kind == "iban", plain)
-        .when(kind == "ip", F.array_join(octets, "."))
-        .when(kind.isin("card", "ssn"), _digits(found))
-        .when(kind == "phone", F.right(_digits(found), F.lit(10)))
-        .otherwise(found)
-    )
-    return F.when(kind == "name", _name_words(found)).otherwise(F.array(F.struct(kind.alias("kind"), value.alias("value"))))
+
+    def reduced(kind: Column) -> Column:
+        value = (
+            F.when(kind == "secret", F.regexp_replace(found, f"^{_SECRET_LEAD}", ""))
+            .when(kind == "email", F.lower(found))
+            .when(kind == "iban", plain)
+            .when(kind == "ip", F.array_join(octets, "."))
+            .when(kind.isin("card", "ssn"), _digits(found))
+            .when(kind == "phone", F.right(_digits(found), F.lit(10)))
+            .otherwise(found)
+        )
+        return F.when(kind == "name", _name_words(found)).otherwise(F.array(F.struct(kind.alias("kind"), value.alias("value"))))
+
+    return _let(kind_of(found), reduced)
 
 
 def _rendered(found: Column, key: str, draws: Column) -> Column:
     """A find in its own format with the surrogates of its values."""
-    parts = atoms(found)
-    new = F.transform(parts, lambda a: surrogate(key, a["kind"], a["value"], F.coalesce(F.try_element_at(draws, F.concat_ws("\x1f", a["kind"], a["value"])), F.lit(0))))
-    kind, first = parts[0]["kind"], new[0]
-    digits = _digits(found)
-    national = F.concat(F.substr(digits, F.lit(1), F.length(digits) - F.length(first)), first)
-    cased = F.when((found == F.upper(found)) & (found != F.lower(found)), F.upper(first)).otherwise(first)
-    words = F.split(F.regexp_replace(found, _TITLE_PART, ""), "[ -]")
-    named = F.concat(
-        F.regexp_extract(found, _TITLE_PART, 1),
-        F.array_join(
-            F.zip_with(new, F.transform(words, lambda w: w), lambda n, w: F.when(w == F.upper(w), F.upper(n)).otherwise(F.initcap(n))),
-            " ",
-        ),
-    )
-    return (
-        F.when(kind == "secret", F.concat(F.regexp_extract(found, f"^({_SECRET_LEAD})", 1), first))
-        .when(kind == "email", cased)
-        .when(kind.isin("key", "ip"), first)
-        .when(kind.isin("card", "ssn", "iban"), _refill(found, first))
-        .when(kind == "phone", _refill(found, national))
-        .otherwise(named)
+
+    def draw(a: Column) -> Column:
+        return F.coalesce(F.try_element_at(draws, F.concat_ws("\x1f", a["kind"], a["value"])), F.lit(0))
+
+    def written(new: Column) -> Column:
+        # Of each value its kind and surrogate.
+        kind, first = new[0]["kind"], new[0]["new"]
+        digits = _digits(found)
+        national = F.concat(F.substr(digits, F.lit(1), F.length(digits) - F.length(first)), first)
+        cased = F.when((found == F.upper(found)) & (found != F.lower(found)), F.upper(first)).otherwise(first)
+        words = F.split(F.regexp_replace(found, _TITLE_PART, ""), "[ -]")
+        named = F.zip_with(new, words, lambda n, w: F.when(w == F.upper(w), F.upper(n["new"])).otherwise(F.initcap(n["new"])))
+        return (
+            F.when(kind == "secret", F.concat(F.regexp_extract(found, f"^({_SECRET_LEAD})", 1), first))
+            .when(kind == "email", cased)
+            .when(kind.isin("key", "ip"), first)
+            .when(kind.isin("card", "ssn", "iban"), _refill(found, first))
+            .when(kind == "phone", _refill(found, national))
+            .otherwise(F.concat(F.regexp_extract(found, _TITLE_PART, 1), F.array_join(named, " ")))
+        )
+
+    fresh = F.transform(
+        atoms(found), lambda a: F.struct(a["kind"].alias("kind"), surrogate(key, a["kind"], a["value"], draw(a)).alias("new"))
     )
+    return _let(fresh, written)
 
 
 def finds(text: Column) -> Column:
