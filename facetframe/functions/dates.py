@@ -18,9 +18,13 @@ PARSE_FORMATS = {
     "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
     "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
     "MM-dd-yyyy": r"^\d{2}-\d{2}-\d{4}$",
+    # A first part over 12 can only be the day.
+    "dd/MM/yyyy": r"^(?:1[3-9]|2\d|3[01])/\d{2}/\d{4}$",
+    "dd-MM-yyyy": r"^(?:1[3-9]|2\d|3[01])-\d{2}-\d{4}$",
     "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
     "d MMM yyyy": r"^\d{1,2} [A-Z][a-z]{2} \d{4}$",
 }
+MONTH_FIRST_FORMATS = {f: shape for f, shape in PARSE_FORMATS.items() if not f.startswith("dd")}
 ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$"
 YEAR_SHAPE = r"^\d{4}$"
 
@@ -31,21 +35,20 @@ def looks_like_date(c: Column, shapes=DATE_SHAPES) -> Column:
 
 
 def parse_date(c: Column, formats=PARSE_FORMATS) -> Column:
-    """Timestamp of a date text; what cannot be read is null.
+    """Timestamp of a date text; a bare four-digit year is its first of January, what cannot be read is null.
 
     `formats` maps each further format to the shape of the texts it is tried on.
     """
     text = strip(c)
     iso = F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp"))
     shaped = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in formats.items()]
-    return F.coalesce(iso, *shaped)
+    year = F.when(text.rlike(YEAR_SHAPE), F.concat(text, F.lit("-01-01")).try_cast("timestamp"))
+    return F.coalesce(iso, year, *shaped)
 
 
-def lenient_timestamp(c: Column, formats=PARSE_FORMATS) -> Column:
-    """As `parse_date`; a bare four-digit year is its first of January."""
-    text = strip(c)
-    new_year = F.concat(text, F.lit("-01-01")).try_cast("timestamp")
-    return F.when(text.rlike(YEAR_SHAPE), new_year).otherwise(parse_date(c, formats))
+def lenient_timestamp(c: Column, formats=MONTH_FIRST_FORMATS) -> Column:
+    """As `parse_date`, but parts between slashes are always month first."""
+    return parse_date(c, formats)
 
 
 def month_of(ts: Column) -> Column:

@@ -9,6 +9,7 @@ from facetframe.functions.text import strip
 INFINITY = float("inf")
 BRACKET = "\u0001"
 DECIMAL_GRAMMAR = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+FLOAT_GRAMMAR = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:nan|inf|infinity))$"
 
 
 def finite(c: Column) -> Column:
@@ -28,6 +29,12 @@ def formatted_number(c: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9.\-+]", "").try_cast("double")
 
 
+def plain_number(c: Column) -> Column:
+    """A number literal, `nan` and `inf` included; the grammar keeps `12d` and `1f` out of the cast."""
+    text = strip(c.cast("string"))
+    return F.when(text.rlike(FLOAT_GRAMMAR), text.try_cast("double"))
+
+
 def _whole_match(c: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
@@ -72,4 +79,4 @@ def chart_number(c: Column) -> Column:
 
 def safe_float(c: Column, default: float = 0.0) -> Column:
     """Null, NaN and text become the default."""
-    return F.coalesce(without_nan(c.try_cast("double")), F.lit(float(default)))
+    return F.coalesce(without_nan(plain_number(c)), F.lit(float(default)))

@@ -83,7 +83,7 @@ def group_labels(
     number = number_in(df, measure).cast("double") if measure else F.lit(None).cast("double")
     rows = df.select(label.alias("label"), number.alias("number")).where(F.col("label").isNotNull())
     if values:
-        rows = rows.where(question_form(F.col("label")).isin([v.lower().strip() for v in values]))
+        rows = rows.where(question_form(F.col("label")).isin(*[question_form(F.lit(v)) for v in values]))
     average = F.round(F.coalesce(F.sum("number"), F.lit(0.0)) / F.count("*"), 2)
     value = average if metric == "average" else F.count("*").cast("double")
     grouped = rows.groupBy("label").agg(value.alias("value"))

@@ -74,8 +74,8 @@ def histogram_bars(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
     )
 
 
-def result_points(df: DataFrame, limit: int = MAX_POINTS, order_by=None) -> DataFrame:
-    """(name, value): first label column and first numeric one (or two numeric ones)."""
+def result_points(df: DataFrame, order_by, limit: int = MAX_POINTS) -> DataFrame:
+    """(name, value): first label column and first numeric one (or two numeric ones), the first rows by a key."""
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
     numbers = [c for c, k in kinds.items() if k == "numeric"]
     labels = [c for c, k in kinds.items() if k != "numeric"]
@@ -87,7 +87,7 @@ def result_points(df: DataFrame, limit: int = MAX_POINTS, order_by=None) -> Data
         x, y = numbers[0], numbers[1]
     else:
         x, y = df.columns[0], numbers[0]
-    rows = df.orderBy(*order_columns(order_by)) if order_by is not None else df
+    rows = df.orderBy(*order_columns(order_by))
     # The cap counts result rows; rows with nothing to draw are dropped after it.
     return (
         rows.select(cell(x).cast("string").alias("name"), without_nan(cell(y)).alias("value")).limit(limit).dropna()

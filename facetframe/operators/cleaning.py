@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from facetframe.functions.numbers import without_nan
+from facetframe.functions.numbers import plain_number, without_nan
 from facetframe.functions.text import LONG_TEXT, is_long, short_form
 from facetframe.operators.frames import cell, long_cells, order_columns, text_columns
 
@@ -52,12 +52,12 @@ def coerce_numeric_columns(df: DataFrame) -> DataFrame:
         return df
     flags = df.agg(
         *[
-            ((F.count_if(cell(c).isNotNull() & cell(c).try_cast("double").isNull()) == 0) & (F.count(cell(c)) > 0)).alias(c)
+            ((F.count_if(cell(c).isNotNull() & plain_number(cell(c)).isNull()) == 0) & (F.count(cell(c)) > 0)).alias(c)
             for c in texts
         ]
     ).first()
     return df.select(
-        *[cell(c).try_cast("double").alias(c) if c in texts and flags[c] else cell(c) for c in df.columns]
+        *[plain_number(cell(c)).alias(c) if c in texts and flags[c] else cell(c) for c in df.columns]
     )
 
 

@@ -22,8 +22,11 @@ YEAR_WORDS = {"after": "gt", "since": "gte", "before": "lt"}
 
 
 def number_in(df: DataFrame, column: str) -> Column:
-    """The column as it is when numeric (so filters reach the scan), else parsed."""
-    return cell(column) if dict(df.dtypes)[column] != "string" else strict_number(cell(column))
+    """The column when numeric, NaN as null; text is parsed. Whole numbers stay bare, so filters reach the scan."""
+    kind = dict(df.dtypes)[column]
+    if kind in ("double", "float"):
+        return F.nanvl(cell(column), F.lit(None).cast(kind))
+    return cell(column) if kind != "string" else strict_number(cell(column))
 
 
 def equals(column: str, value: str, question_rules: bool = False) -> Column:
@@ -33,6 +36,9 @@ def equals(column: str, value: str, question_rules: bool = False) -> Column:
 
 
 def compares(df: DataFrame, column: str, operator: str, value: float) -> Column:
+    if dict(df.dtypes)[column] in ("double", "float"):
+        # NaN would be the largest number; the bare comparison still reaches the scan.
+        return COMPARE[operator](cell(column), F.lit(value)) & ~F.isnan(cell(column))
     return COMPARE[operator](number_in(df, column), F.lit(value))
 
 
@@ -51,7 +57,7 @@ def year_range(df: DataFrame, column: str, word: str, year: int) -> DataFrame:
 
 
 def among(column: str, values: Sequence[str]) -> Column:
-    return question_form(cell(column)).isin([v.lower().strip() for v in values])
+    return question_form(cell(column)).isin(*[question_form(F.lit(v)) for v in values])
 
 
 def outside(value: Column, low: Column, high: Column) -> Column:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from facetframe.functions.dates import DATE_SHAPES, REPORT_DATE_SHAPES, lenient_timestamp, looks_like_date
-from facetframe.functions.numbers import finite, formatted_number, strict_number, without_nan
+from facetframe.functions.numbers import finite, formatted_number, plain_number, strict_number, without_nan
 from facetframe.functions.text import blank_to_null, key_form, short_form
 from facetframe.operators.frames import (
     AGG_BUFFERS,
@@ -28,10 +28,6 @@ from facetframe.operators.quantiles import exact_quantiles
 PARSED_COLUMNS = 2
 
 
-def plain_number(c: Column) -> Column:
-    return c.try_cast("double")
-
-
 # ---------------------------------------------------------------- counts
 
 

@@ -1,30 +1,26 @@
 """Throttling: keep an event only if enough time passed since the last KEPT one.
 
 A dropped event does not move the clock, so this is a chain and no plain lag.
-Keys counted to hold few events are folded whole, one shuffle in all. The time
-line of a hot key is cut into chunks: a first pass finds, for every moment at
-which a chunk may be entered, when it is left; folding those few rows per key
-gives the true entry of each chunk, and a second pass marks the kept events. A
-hot key is thus spread over many tasks. Every pass streams over sorted Arrow
-batches with a constant amount of state.
+The time line of every key is cut into chunks: a first pass finds, for every moment
+at which a chunk may be entered, when it is left; folding those few rows per key
+gives the true entry of each chunk, and a second pass marks the kept events. All
+keys take this route, whatever their size, and a hot key is spread over many tasks.
+Every pass streams over sorted Arrow batches with a constant amount of state.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from facetframe.operators.frames import cell
-from facetframe.session import checkpointed
 
 CLICK_MS = 750
 FEATURE_MS = 5000
 CHUNK_GAPS = 200
-HOT_ROWS = 1_000_000
 
 
 class _ChunkMap:
@@ -161,43 +157,22 @@ def throttle(
     tie_break: str,
     gap_ms: int = CLICK_MS,
     chunk_ms: int | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The rows kept, all columns. Of events of a key at one moment the smallest tie-break can be kept.
 
-    Keys of more than `hot_rows` events are folded in chunks of `chunk_ms`.
+    A null tie-break comes last; of rows alike in it any one is taken. Null keys are a
+    key; events without a moment are left out. Time lines are cut every `chunk_ms`.
     """
     gap = gap_ms * 1000
     chunk = max(chunk_ms * 1000 if chunk_ms else CHUNK_GAPS * gap, gap)
-    keys = list(keys)
     timed = df.where(cell(ts).isNotNull())
-    counts = timed.groupBy(*map(cell, keys)).agg(F.count("*").alias("_n"))
-    # At most one key per `hot_rows` events, so few; kept, as it is asked for thrice.
-    hot = checkpointed(counts.where(F.col("_n") > hot_rows).select(*map(cell, keys)))
-    if hot.isEmpty():
-        return _whole_keys(timed, keys, ts, tie_break, gap)
-    hot = hot.toDF(*[f"_h{i}" for i in range(len(keys))])
-    same = reduce(lambda a, b: a & b, [cell(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
-    cold_part = _whole_keys(timed.join(hot, same, "left_anti"), keys, ts, tie_break, gap)
-    hot_part = _chunked_keys(timed.join(hot, same, "left_semi"), keys, ts, tie_break, gap, chunk)
-    return cold_part.unionByName(hot_part)
+    return _chunked_keys(timed, list(keys), ts, tie_break, gap, chunk)
 
 
 def _moment(ts: str):
     return F.unix_micros(cell(ts).cast("timestamp")).alias("_t")
 
 
-def _whole_keys(timed: DataFrame, keys: list[str], ts: str, tie_break: str, gap: int) -> DataFrame:
-    columns = timed.columns
-    by_key = W.partitionBy(*map(cell, keys)).orderBy("_t", cell(tie_break))
-    marked = (
-        timed.select(*map(cell, columns), _moment(ts))
-        .withColumn("_first", F.row_number().over(by_key) == 1)
-        .withColumn("_entry", F.lit(None).cast("long"))
-    )
-    return marked.mapInArrow(_kept(gap, columns), timed.schema)
-
-
 def _chunked_keys(timed: DataFrame, keys: list[str], ts: str, tie_break: str, gap: int, chunk: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -209,7 +184,7 @@ def _chunked_keys(timed: DataFrame, keys: list[str], ts: str, tie_break: str, ga
     record = F.struct(*[cell(c) for c in columns])
     single = (
         timed.groupBy(*map(cell, keys), _moment(ts))
-        .agg(F.min_by(record, cell(tie_break)).alias("_r"))
+        .agg(F.min_by(record, F.struct(cell(tie_break).isNull(), cell(tie_break))).alias("_r"))
         .select("_r.*", "_t", number)
     )
     by_chunk = W.partitionBy(*map(cell, keys), F.col("_chunk")).orderBy("_t")

@@ -142,9 +142,9 @@ def test_numbers(spark, raw, formatted, strict, lenient):
 @pytest.mark.parametrize(
     "raw,day,parsed",
     [
-        ("2020", "2020-01-01", None),
+        ("2020", "2020-01-01", "2020-01-01"),
         ("2020-01-31", "2020-01-31", "2020-01-31"),
-        ("31/01/2020", None, None),
+        ("31/01/2020", None, "2020-01-31"),
         ("01/31/2020", "2020-01-31", "2020-01-31"),
         ("2020/01/31", "2020-01-31", "2020-01-31"),
         ("2020-01-31T10:00:00", "2020-01-31", "2020-01-31"),
@@ -293,3 +293,24 @@ def test_domain_words(spark):
     assert one(spark, profile.domain_of, "order_id customer_name") == "ecommerce"
     assert one(spark, profile.domain_of, "grade") == "general"
     assert one(spark, lambda c: profile.domain_of(c, whole_words=True), "grades roi") == "general"
+
+
+def test_float_literals_are_guarded(spark):
+    for raw, value in (("12d", 0.0), ("1f", 0.0), (" 12.5 ", 12.5), ("nan", 0.0), ("1e3", 1000.0), (None, 0.0)):
+        assert one(spark, N.safe_float, raw) == value
+    df = spark.createDataFrame([("12d", "1"), ("7f", "2.5")], "a string, b string")
+    from facetframe.operators.cleaning import coerce_numeric_columns
+
+    assert dict(coerce_numeric_columns(df).dtypes) == {"a": "string", "b": "double"}
+
+
+def test_nan_is_missing_in_groups(spark):
+    from facetframe.operators.aggregate import group_metric
+    from facetframe.operators.filters import among, compares
+
+    df = spark.createDataFrame([("a", float("nan")), ("a", 2.0), ("b", 1.0)], "g string, v double")
+    assert [tuple(r) for r in group_metric(df, "g", "v", "sum").collect()] == [("a", 2.0), ("b", 1.0)]
+    assert [tuple(r) for r in group_metric(df, "g", "v", "max").collect()] == [("a", 2.0), ("b", 1.0)]
+    assert df.where(compares(df, "v", "gt", 0.0)).count() == 2
+    names = spark.createDataFrame([("Sci-Fi",), ("sci fi",), ("a_b",), ("Drama!",), ("x",)], "genre string")
+    assert names.where(among("genre", ["Sci-Fi", "a_b", "drama"])).count() == 4

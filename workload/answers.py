@@ -296,7 +296,7 @@ def _(spark, folder):
     return charts.result_points(rows, order_by="c_custkey")
 
 
-HAS = "regexp_matches(lower(question), '{}')"
+HAS = "regexp_matches(lower(long_text), '{}')"
 INTENT = "CASE conv_id % 4 WHEN 0 THEN 'trend' WHEN 1 THEN 'correlation' WHEN 2 THEN 'distribution' ELSE 'count' END"
 
 
@@ -312,7 +312,7 @@ INTENT = "CASE conv_id % 4 WHEN 0 THEN 'trend' WHEN 1 THEN 'correlation' WHEN 2
           CASE WHEN {INTENT} = 'trend' THEN 'line' WHEN {HAS.format('pie')} THEN 'pie' ELSE 'bar' END AS local FROM asked""",
 )
 def _(spark, folder):
-    text, size = F.col("question"), F.col("turn") + 4
+    text, size = F.col("long_text"), F.col("turn") + 4
     turn = F.col("conv_id") % 4
     intent = F.when(turn == 0, "trend").when(turn == 1, "correlation").when(turn == 2, "distribution").otherwise("count")
     requested = F.when(F.lower(text).contains("pie"), "pie")
@@ -360,19 +360,20 @@ def _(spark, folder):
 
 @query(
     "h12_zip_points",
-    """WITH t AS (SELECT vec_id, list_slice(embedding, 1, 6) AS v, ['USA', '', NULL, 'UK'] || (CASE WHEN vec_id % 2 = 0 THEN ['x', 'y', 'z'] ELSE [] END) AS l FROM embeddings),
+    """WITH t AS (SELECT vec_id, embedding AS v, list_transform(range(len(embedding) - CAST(vec_id % 2 AS INTEGER)),
+                     lambda i: CASE i % 4 WHEN 0 THEN 'USA' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'UK' END) AS l FROM embeddings),
             z AS (SELECT vec_id, CAST(unnest(range(least(len(v), len(l)))) AS INTEGER) AS position, v, l FROM t)
        SELECT vec_id, position, coalesce(nullif(l[position + 1], ''), 'Item ' || CAST(position + 1 AS VARCHAR)) AS name,
               CAST(round(v[position + 1] * 100) AS DOUBLE) AS value FROM z""",
 )
 def _(spark, folder):
-    labels = F.array(F.lit("USA"), F.lit(""), F.lit(None), F.lit("UK"))
-    more = F.array(F.lit("x"), F.lit("y"), F.lit("z"))
-    none = F.slice(more, F.lit(1), F.lit(0))
+    four = F.array(F.lit("USA"), F.lit(""), F.lit(None), F.lit("UK"))
+    # One label fewer than numbers in every other row.
+    places = F.sequence(F.lit(0), F.size("embedding") - 1 - (F.col("vec_id") % 2).cast("int"))
     rows = table(spark, folder, "embeddings").select(
         "vec_id",
-        F.concat(labels, F.when(F.col("vec_id") % 2 == 0, more).otherwise(none)).alias("labels"),
-        F.transform(F.slice("embedding", F.lit(1), F.lit(6)), lambda x: F.round(x * 100)).alias("numbers"),
+        F.transform(places, lambda i: F.get(four, i % 4)).alias("labels"),
+        F.transform("embedding", lambda x: F.round(x * 100)).alias("numbers"),
     )
     return charts.zip_points(rows, "labels", "numbers", keep=["vec_id"])
 

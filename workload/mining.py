@@ -252,7 +252,7 @@ def _(spark, folder):
 def _(spark, folder):
     # Five keys hold all rows: each is spread over its chunks.
     kept = throttle(
-        table(spark, folder, "events"), ["event_type"], "ts", "event_id", HOUR_MS // 2, 4 * HOUR_MS, hot_rows=100
+        table(spark, folder, "events"), ["event_type"], "ts", "event_id", HOUR_MS // 2, 4 * HOUR_MS
     )
     return kept.select("event_id")
 

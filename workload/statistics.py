@@ -369,17 +369,13 @@ DOMINANCE_SQL = """
 SELECT 'dominance' AS type, upper(label[1]) || label[2:] || ' dominates the dataset in {1}.' AS message, round(value * 1.0 / total, 6) AS confidence
 FROM (SELECT label, value, sum(value) OVER () AS total, count(*) OVER () AS k FROM {0}) WHERE k >= 2 AND value * 1.0 / total > 0.3 ORDER BY value DESC, label LIMIT 1
 """
-# Orders weighted towards late years, so that the yearly counts rise.
-RISING_SQL = """rising AS (SELECT o_orderkey, strftime(o_orderdate, '%Y') AS y, o_orderpriority FROM orders
-  WHERE o_orderdate < DATE '2001-01-01' AND o_orderkey % 7 < year(o_orderdate) - 1993)"""
+# All orders under a derived year whose counts rise: 1, 3, 5 ... of every 49 keys.
+RISING_SQL = """rising AS (SELECT o_orderkey, CAST(1994 + CAST(floor(sqrt(o_orderkey % 49)) AS INTEGER) AS VARCHAR) AS y, o_orderpriority FROM orders)"""
 
 
 def _rising(spark, folder):
-    return (
-        table(spark, folder, "orders")
-        .where("o_orderdate < DATE'2001-01-01' AND o_orderkey % 7 < year(o_orderdate) - 1993")
-        .select("o_orderkey", F.date_format("o_orderdate", "yyyy").alias("y"), "o_orderpriority")
-    )
+    year = F.floor(F.sqrt(F.col("o_orderkey") % 49)).cast("int") + 1994
+    return table(spark, folder, "orders").select("o_orderkey", year.cast("string").alias("y"), "o_orderpriority")
 
 
 @query(
