@@ -1,13 +1,13 @@
 """Main text of web pages by the maximum-scoring run of words and tags.
 
 A page is a row of tokens: runs of words and tags. A token's feature is its tag,
-or for words the element they stand in, with a mark for elements whose class, id or
-role names them a menu, advert, notice and so on. Its weight is how much likelier
+or for words the element they stand in. Its weight is how much likelier
 than not the feature stands inside the main text, learned from labelled pages:
 those with exactly one ``article`` (or else one ``main``) element, whose inside is
 the label. Rare features lean on the prior: words count for the text, tags against
-it. One linear scan finds the run of tokens with the greatest sum; elements inside
-it that are boilerplate by name are left out.
+it. One linear scan finds the run of tokens with the greatest sum. Elements that are
+boilerplate by name, or whose class, id or role says menu, advert, notice and so
+on, weigh nothing and are left out of the text.
 
 Counting and extraction are one pass each over the pages, with no shuffle but the
 sum of the counts per feature; there are at most a few hundred features, since
@@ -116,11 +116,11 @@ class Page:
                 if span[1] < 0:
                     span[1] = len(self.features)
 
-    def _token(self, feature: str, size: int, text: str | None, breaks: bool) -> None:
+    def _token(self, feature: str, size: int, text: str | None, breaks: bool, leads_out: bool = False) -> None:
         self.features.append(feature)
         self.sizes.append(size)
         self.texts.append(text)
-        self.left_out.append(self.out_depth > 0)
+        self.left_out.append(self.out_depth > 0 or leads_out)
         self.breaks.append(breaks)
 
     def _words(self, run: str) -> None:
@@ -130,8 +130,7 @@ class Page:
         size = len(text.split())
         if size:
             inner = next((n for n, _, _ in reversed(self.stack)), "none")
-            mark = "!" if self.out_depth else ""
-            self._token(f"w {inner if inner in _KNOWN else 'other'}{mark}", size, text, False)
+            self._token(f"w {inner if inner in _KNOWN else 'other'}", size, text, False)
         elif text:
             self._token("space", 0, " ", False)
 
@@ -157,7 +156,7 @@ class Page:
         out = marked and name not in ("html", "body", "article", "main") or name in _BOILERPLATE or page_header
         never = name in _NEVER
         if not (self.never_depth or never):
-            self._token(f"< {name if name in _KNOWN else 'other'}{'!' if out else ''}", 1, " " if name == "br" else None, name in _BLOCKS)
+            self._token(f"< {name if name in _KNOWN else 'other'}", 1, " " if name == "br" else None, name in _BLOCKS, out)
         if name in self.spans and not self.never_depth and not self.out_depth:
             self.spans[name].append([len(self.features), -1])
         if name not in _VOID and not attributes.rstrip().endswith("/") or name in _BLOCKS - _VOID:
@@ -198,6 +197,8 @@ class Page:
         """The first shortest run of tokens with the greatest positive sum; empty if none is positive."""
         best, best_span, total, start = 0.0, (0, 0), 0.0, 0
         for i, (feature, size) in enumerate(zip(self.features, self.sizes)):
+            if self.left_out[i]:
+                continue
             if total <= 0:
                 total, start = 0.0, i
             total += size * weight_of(feature, weights)
@@ -226,8 +227,6 @@ def weight_of(feature: str, weights: dict[str, float]) -> float:
     found = weights.get(feature)
     if found is not None:
         return found
-    if feature.endswith("!"):
-        return -0.5
     return (PRIOR_WORDS if feature[0] == "w" else PRIOR_TAGS) - 0.5
 
 
@@ -245,9 +244,9 @@ def learned(pages: DataFrame, source: str = "html") -> dict[str, float]:
                 if label is None:
                     continue
                 for i, (feature, size) in enumerate(zip(page.features, page.sizes)):
-                    everywhere[feature] += size
-                    if label[0] <= i < label[1] and not page.left_out[i]:
-                        inside[feature] += size
+                    if not page.left_out[i]:
+                        everywhere[feature] += size
+                        inside[feature] += size * (label[0] <= i < label[1])
         names = sorted(everywhere)
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array([inside[n] for n in names], pa.int64()), pa.array([everywhere[n] for n in names], pa.int64())],
@@ -259,7 +258,7 @@ def learned(pages: DataFrame, source: str = "html") -> dict[str, float]:
     rows = counts.groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("everywhere").alias("everywhere")).collect()
     weights = {}
     for r in rows:
-        prior = 0.0 if r["feature"].endswith("!") else PRIOR_WORDS if r["feature"][0] == "w" else PRIOR_TAGS
+        prior = PRIOR_WORDS if r["feature"][0] == "w" else PRIOR_TAGS
         weights[r["feature"]] = (r["inside"] + PRIOR_COUNT * prior) / (r["everywhere"] + PRIOR_COUNT) - 0.5
     return weights
 
