@@ -31,6 +31,10 @@ SAMPLE_CLEAN = 1_200
 TEXT_WINDOWS = 16
 _WORD_ROWS, _GRAM_ROWS, _DIM, _HIDDEN = 1 << 13, 1 << 13, 16, 16
 _PASSES, _BATCH, _RATE = 4, 96, 4e-3
+#: Share of words left out of a training window, and every how manieth text sets the level instead of training.
+_LEFT_OUT, _LEVEL_EVERY = 0.2, 5
+#: A small sample is passed over more often, for about so many steps.
+_LEAST_STEPS, _MOST_PASSES = 160, 16
 _CHUNK = 1_024
 
 
@@ -277,20 +281,34 @@ def fit(texts: list[bytes], labels: list[int], passes: int = _PASSES, seed: int
     if not len(y) or y.min() == y.max():
         return Model(None, float(y[0]) if len(y) else 0.0)
     r = np.random.RandomState(seed)
+    # Texts of both kinds in turn, so that the level is set by both.
+    rank = np.empty(len(y), dtype=np.int64)
+    for kind in (0, 1):
+        rank[y == kind] = np.arange((y == kind).sum())
+    level_set = np.flatnonzero(rank % _LEVEL_EVERY == _LEVEL_EVERY - 1)
+    if len(set(y[level_set].tolist())) < 2:
+        level_set = np.arange(len(y))
+    train = np.flatnonzero(rank % _LEVEL_EVERY != _LEVEL_EVERY - 1)
     network = Network(seed)
     adam = Adam(network.p, _RATE)
-    for number in range(passes):
+    number = 0
+    while number < passes:
         adam.rate = _RATE * (1.0 if number < passes - 2 else 0.3)
-        for batch, target, weight in _batches(texts, y, r.permutation(len(texts)), network if number >= 2 else None):
+        for batch, target, weight in _batches(texts, y, r.permutation(train), network if number >= passes // 2 else None):
             picks = r.permutation(len(batch.windows))
             for i in range(0, len(picks), _BATCH):
                 own = picks[i : i + _BATCH]
-                adam.step(network.gradients(batch, batch.windows[own], target[own], weight[own]))
-    highest = np.full(len(texts), -np.inf)
-    for at in range(0, len(texts), 32):
-        batch = Batch(texts[at : at + 32])
+                # Words left out at random, so that no window is known by its rare words.
+                windows = batch.windows[own] * (r.random_sample((len(own), WINDOW)) >= _LEFT_OUT)
+                adam.step(network.gradients(batch, windows, target[own], weight[own]))
+        number += 1
+        if number == 1:
+            passes = max(passes, min(_MOST_PASSES, -(-_LEAST_STEPS // adam.t)))
+    highest = np.full(len(level_set), -np.inf)
+    for at in range(0, len(level_set), 32):
+        batch = Batch([texts[i] for i in level_set[at : at + 32]])
         np.maximum.at(highest, at + batch.owner, network.scores(batch))
-    return Model(network, _level(highest, y))
+    return Model(network, _level(highest, y[level_set]))
 
 
 def _level(highest: np.ndarray, y: np.ndarray) -> float:
