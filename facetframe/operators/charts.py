@@ -156,10 +156,9 @@ def zip_points(df: DataFrame, labels: str, values: str, keep: Sequence[str] = ()
 
 
 def series_rows(df: DataFrame, label: str, series: Sequence[str]) -> DataFrame:
-    """Label and one number or null per series; rows with no number at all are dropped."""
+    """Label and one number or null per series; every row stays."""
     numbers = [lenient_number(cell(s).cast("string"), blank=0).alias(s) for s in series]
-    some = reduce(lambda a, b: a | b, [cell(s).isNotNull() for s in series])
-    return df.select(cell(label).cast("string").alias(label), *numbers).where(some)
+    return df.select(cell(label).cast("string").alias(label), *numbers)
 
 
 def value_rows(df: DataFrame, label: str, value: str, pie: bool = False) -> DataFrame:

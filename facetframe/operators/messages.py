@@ -69,16 +69,16 @@ SQL_SHAPES = (
 )
 # Names and message words that stand for one another.
 ALIASES = {
-    "name": "name title label description",
-    "date": "date time timestamp created updated year month day",
-    "amount": "amount total sum value price cost revenue sales",
-    "count": "count quantity number num qty",
-    "category": "category type kind class group genre",
-    "status": "status state condition active enabled",
-    "location": "country city state region location address place",
-    "person": "user customer employee student player author name",
-    "id": "id identifier code key",
-    "rating": "rating score grade rank stars",
+    "name": ("name", "title", "label", "description"),
+    "date": ("date", "time", "timestamp", "created", "updated", "year", "month", "day"),
+    "amount": ("amount", "total", "sum", "value", "price", "cost", "revenue", "sales"),
+    "count": ("count", "quantity", "number", "num", "qty"),
+    "category": ("category", "type", "kind", "class", "group", "genre"),
+    "status": ("status", "state", "condition", "active", "enabled"),
+    "location": ("country", "city", "state", "region", "location", "address", "place"),
+    "person": ("user", "customer", "employee", "student", "player", "author", "name"),
+    "id": ("id", "identifier", "code", "key"),
+    "rating": ("rating", "score", "grade", "rank", "stars"),
 }
 LOCAL_ALIASES = {
     "country": ("country", "countries", "nation", "region", "location"),
@@ -232,7 +232,7 @@ def alias_mentions(
 
     The first group in order that both the name and the message hold counts.
     """
-    groups = {g: tuple(words.split()) for g, words in ALIASES.items()} if rules == "server" else LOCAL_ALIASES
+    groups = ALIASES if rules == "server" else LOCAL_ALIASES
     form = link_form if rules == "server" else question_form
     linked = []
     for i, name in enumerate(names):

@@ -512,28 +512,28 @@ def full_profile(df: DataFrame, order_by, rules: TypeRules = PROFILER, top_k: in
 
 # Words that speak for a domain, profiler list.
 DOMAIN_WORDS = {
-    "finance": "revenue profit sales price cost income expense budget tax",
-    "healthcare": "patient diagnosis treatment hospital medical health symptom",
-    "education": "student grade course school university teacher exam",
-    "ecommerce": "product order customer cart shipping payment review",
-    "hr": "employee salary department hire position manager attendance",
-    "marketing": "campaign click impression conversion channel ad roi",
-    "sports": "player team score match season league goal",
+    "finance": ("revenue", "profit", "sales", "price", "cost", "income", "expense", "budget", "tax"),
+    "healthcare": ("patient", "diagnosis", "treatment", "hospital", "medical", "health", "symptom"),
+    "education": ("student", "grade", "course", "school", "university", "teacher", "exam"),
+    "ecommerce": ("product", "order", "customer", "cart", "shipping", "payment", "review"),
+    "hr": ("employee", "salary", "department", "hire", "position", "manager", "attendance"),
+    "marketing": ("campaign", "click", "impression", "conversion", "channel", "ad", "roi"),
+    "sports": ("player", "team", "score", "match", "season", "league", "goal"),
 }
 # Words that speak for a domain, report list.
 REPORT_DOMAIN_WORDS = {
-    "sales": "revenue sales order customer product price quantity amount total",
-    "finance": "profit cost expense budget tax income asset liability transaction",
-    "marketing": "campaign click impression conversion channel ad roi ctr cpc",
-    "hr": "employee salary department hire position manager attendance performance",
-    "healthcare": "patient diagnosis treatment hospital medical health drug dosage",
-    "ecommerce": "product cart checkout shipping payment order inventory sku",
-    "education": "student grade course school teacher exam score enrollment",
-    "logistics": "shipment delivery warehouse route vehicle package tracking",
+    "sales": ("revenue", "sales", "order", "customer", "product", "price", "quantity", "amount", "total"),
+    "finance": ("profit", "cost", "expense", "budget", "tax", "income", "asset", "liability", "transaction"),
+    "marketing": ("campaign", "click", "impression", "conversion", "channel", "ad", "roi", "ctr", "cpc"),
+    "hr": ("employee", "salary", "department", "hire", "position", "manager", "attendance", "performance"),
+    "healthcare": ("patient", "diagnosis", "treatment", "hospital", "medical", "health", "drug", "dosage"),
+    "ecommerce": ("product", "cart", "checkout", "shipping", "payment", "order", "inventory", "sku"),
+    "education": ("student", "grade", "course", "school", "teacher", "exam", "score", "enrollment"),
+    "logistics": ("shipment", "delivery", "warehouse", "route", "vehicle", "package", "tracking"),
 }
 
 
-def domain_of(text: Column, words: dict[str, str] = DOMAIN_WORDS, whole_words: bool = False) -> Column:
+def domain_of(text: Column, words: dict[str, tuple[str, ...]] = DOMAIN_WORDS, whole_words: bool = False) -> Column:
     """The domain with the most keywords in the text, if it has at least two.
 
     Keywords count once each and match inside words unless `whole_words`;
@@ -548,7 +548,7 @@ def domain_of(text: Column, words: dict[str, str] = DOMAIN_WORDS, whole_words: b
     votes = F.array(
         *[
             F.struct(
-                reduce(lambda a, b: a + b, [found(w) for w in listed.split()]).alias("score"),
+                reduce(lambda a, b: a + b, [found(w) for w in listed]).alias("score"),
                 F.lit(-i).alias("turn"),
                 F.lit(domain).alias("domain"),
             )
@@ -569,13 +569,13 @@ def domains_of_tables(catalog: DataFrame, table: str, column: str, words=DOMAIN_
     hits = [
         F.max(name.contains(w).cast("int")).alias(f"{domain}|{w}")
         for domain, listed in words.items()
-        for w in listed.split()
+        for w in listed
     ]
     scored = catalog.groupBy(cell(table).alias("table")).agg(*hits)
     votes = F.array(
         *[
             F.struct(
-                reduce(lambda a, b: a + b, [cell(f"{domain}|{w}") for w in listed.split()]).alias("score"),
+                reduce(lambda a, b: a + b, [cell(f"{domain}|{w}") for w in listed]).alias("score"),
                 F.lit(-i).alias("turn"),
                 F.lit(domain).alias("domain"),
             )

@@ -232,11 +232,14 @@ def anomalies(df: DataFrame, columns: Sequence[str], order_by, samples: int = 5,
 # ---------------------------------------------------------------- histogram
 
 
+LEAST_VALUES = 4
+
+
 def histogram(df: DataFrame, column: str, bins: int | None = None, digits: int = 4) -> DataFrame:
     """(bin, bin_start, bin_end, count): equal widths, the last bin closed, empty bins kept.
 
-    Without `bins` their number is n // 10, at least 5 and at most 20. A
-    constant column spreads over half a unit to each side.
+    Without `bins` their number is n // 10, at least 5 and at most 20. Under four
+    values there is no histogram. A constant column spreads over half a unit to each side.
     """
     value = numeric_values(df, [column])[column]
     numbers = df.select(without_nan(value).alias("v")).where(F.col("v").isNotNull())
@@ -244,7 +247,7 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, digits: int =
     flat = F.col("min") == F.col("max")
     bounds = (
         numbers.agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
-        .where(F.col("n") > 0)
+        .where(F.col("n") >= LEAST_VALUES)
         .select(
             F.when(flat, F.col("min") - 0.5).otherwise(F.col("min")).alias("lo"),
             F.when(flat, F.col("max") + 0.5).otherwise(F.col("max")).alias("hi"),

@@ -169,7 +169,7 @@ def _alias_sql(groups, form, plain, linked):
 
 @query(
     "m9_alias_mentions",
-    _alias_sql({g: w.split() for g, w in messages.ALIASES.items()}, LINK.format("long_text"), lambda c: c.replace("_", " "), None),
+    _alias_sql(messages.ALIASES, LINK.format("long_text"), lambda c: c.replace("_", " "), None),
 )
 def _(spark, folder):
     return messages.alias_mentions(asked(spark, folder), "long_text", COLUMNS, ["conv_id", "turn"])

@@ -268,7 +268,7 @@ def _(spark, folder):
 def _domain_sql(words):
     body = "replace(lower(text), '_', ' ')"
     scores = ", ".join(
-        " + ".join(f"CAST(contains({body}, '{w}') AS INTEGER)" for w in listed.split()) + f" AS s{i}"
+        " + ".join(f"CAST(contains({body}, '{w}') AS INTEGER)" for w in listed) + f" AS s{i}"
         for i, listed in enumerate(words.values())
     )
     names = list(words)
@@ -293,7 +293,7 @@ def _table_domain_sql():
     words = profile.DOMAIN_WORDS
     body = "replace(lower(text), '_', ' ')"
     scores = ", ".join(
-        " + ".join(f"max(CAST(contains({body}, '{w}') AS INTEGER))" for w in listed.split()) + f" AS s{i}"
+        " + ".join(f"max(CAST(contains({body}, '{w}') AS INTEGER))" for w in listed) + f" AS s{i}"
         for i, listed in enumerate(words.values())
     )
     names = list(words)
