@@ -248,7 +248,8 @@ def test_windows_overlap_and_cover():
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     extra = docs.withColumn("n_hit", F.lit(1)).unionByName(docs.limit(3).withColumn("n_hit", F.lit(1)))
-    extra = extra.unionByName(spark.createDataFrame([(None, None, None, None, None, None), (9999, "", None, None, 0, 2)], extra.schema))
+    odd = [(None, None, None, None, None, None), (9999, "", None, None, 0, 2)]
+    extra = extra.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, n_hit int"))
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         kept = stage(spark, extra, FOLDER)
         assert kept.columns == extra.columns and kept.dtypes == extra.dtypes, name
