@@ -7,8 +7,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # One aggregate of more buffers than this outgrows what the JVM compiles. Wider
-# ones are cut by column: each part reads its own columns only, so nothing is
-# read twice, and the parts run side by side.
+# ones are cut by column: each part reads its own columns only (a columnar file
+# is read once in all, another source once per part), side by side.
 AGG_BUFFERS = 48
 
 

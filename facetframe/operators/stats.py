@@ -8,6 +8,7 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F
 
 from facetframe.functions.numbers import without_nan
+from facetframe.operators.comoments import co_moments
 from facetframe.operators.frames import (
     AGG_BUFFERS,
     cell,
@@ -33,21 +34,14 @@ def pearson(a, b) -> Column:
 
 
 def _pair_rows(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(a, b, r); each pair over the rows that have both values."""
+    """(a, b, r); each pair over the rows that have both values, all pairs in one scan."""
     at = {c: i for i, c in enumerate(columns)}
-    numbers = df.select(*[without_nan(cell(c)).alias(f"v{i}") for c, i in at.items()])
-
-    def part(chunk) -> DataFrame:
-        wide = numbers.agg(
-            *[pearson(f"v{at[a]}", f"v{at[b]}").alias(f"r{k}") for k, (a, b) in enumerate(chunk)]
-        )
-        structs = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r"))
-            for k, (a, b) in enumerate(chunk)
-        ]
-        return wide.select(F.inline(F.array(*structs)))
-
-    return stacked([part(chunk) for chunk in in_chunks(pairs, AGG_BUFFERS // 10)])
+    moments = co_moments(df, columns, [(at[a], at[b]) for a, b in pairs])
+    wanted = df.sparkSession.createDataFrame([(a, b, at[a], at[b]) for a, b in pairs], "a string, b string, i int, j int")
+    r = F.try_divide(F.col("s_ij"), F.sqrt("s_ii") * F.sqrt("s_jj"))
+    # A value beyond all bounds has no correlation; rounding must not leave -1..1.
+    r = F.when(r.isNotNull() & ~F.isnan(r), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    return wanted.join(moments, ["i", "j"], "left").select("a", "b", r.alias("r"))
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4) -> DataFrame:

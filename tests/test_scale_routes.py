@@ -12,6 +12,7 @@ from facetframe.operators import cleaning
 from facetframe.operators.normality import normal_quantile, normal_upper_tail, normality
 from facetframe.operators.ordering import numbered, running_total
 from facetframe.operators.quantiles import exact_quantiles
+from facetframe.operators.stats import correlations
 from facetframe.sources import store
 from facetframe.streaming.events import sessions
 from facetframe.streaming.throttle import _ChunkMap, throttle
@@ -209,3 +210,22 @@ def test_k_squared_published(spark):
 def test_small_groups_are_left_out(spark):
     df = spark.createDataFrame([(0, float(i)) for i in range(7)] + [(1, float(i)) for i in range(8)], "g int, v double")
     assert [r["g"] for r in normality(df, "v", ["g"]).collect()] == [1]
+
+
+def test_correlations_scan_once(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.RandomState(3)
+    data = pd.DataFrame({f"c{k}": rng.randn(500) * 10 ** (k % 4) + 1e5 * (k % 3) for k in range(120)})
+    data = data.mask(rng.rand(*data.shape) < 0.1)
+    data["same"], data["empty"], data["far"] = 0.1, np.nan, 1e12
+    data.loc[0, "far"] = 1.0
+    df = spark.createDataFrame(data).repartition(5)
+    result = correlations(df, list(data.columns), digits=12)
+    assert result._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = result.toPandas().pivot(index="a", columns="b", values="r").loc[data.columns, data.columns]
+    want = data.corr().fillna(0.0)
+    want.loc["same", :] = want.loc[:, "same"] = 0.0
+    assert float((got - want).abs().to_numpy().max()) < 1e-8
+    assert {r["r"] for r in correlations(df.limit(0), ["c0", "same"]).collect()} == {0.0}
