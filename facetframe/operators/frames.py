@@ -79,11 +79,3 @@ def stacked(frames: Sequence[DataFrame]) -> DataFrame:
 def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a global aggregate (exactly one row) to every row."""
     return df.crossJoin(F.broadcast(one_row))
-
-
-def beside(frames: Sequence[DataFrame]) -> DataFrame:
-    """One-row frames put together as one wide row."""
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.crossJoin(F.broadcast(frame))
-    return out

@@ -1,25 +1,28 @@
-"""Exact quantiles (linear interpolation) at any size.
+"""Exact quantiles (linear interpolation), by one route at any size.
 
-`percentile` is exact but keeps every distinct value of a column in one task,
-so it is used only where the row count is checked and small. Beyond that the
-value at a rank is bracketed between two approximate quantiles, whose ranks
-are then counted exactly; the bracket shrinks about a thousandfold per round
-until its distinct values are few enough to be counted one by one.
+Count, bounds and number of distinct values of all columns come from one pass. A
+column of few distinct values is counted value by value. Otherwise the value at a
+rank is bracketed between two approximate quantiles, whose ranks are then counted
+exactly; the bracket shrinks about a thousandfold per round until its distinct
+values are few enough to be counted. One job reads the values of all brackets.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from facetframe.operators.frames import beside, cell, in_chunks
+from facetframe.operators.frames import cell, in_chunks
 
-IN_MEMORY_CELLS = 4_000_000
 BRACKET_VALUES = 200_000
 ACCURACY = 10_000
+#: Brackets that one aggregate tightens.
+BRACKETS_AT_ONCE = 12
+LARGEST = sys.float_info.max
 
 
 @dataclass
@@ -51,21 +54,12 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str] | Mapping[str, Column],
     probabilities: Sequence[float],
-    in_memory_cells: int = IN_MEMORY_CELLS,
     bracket_values: int = BRACKET_VALUES,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row, with one array column per input column (null if it is empty)."""
     numbers, names = _numbers(df, columns)
-    if df.count() * len(names) <= in_memory_cells:
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        # A column each, side by side: every part scans its own column only.
-        return beside([numbers.agg(F.percentile(cell(n), probs).alias(n)) for n in names])
-    found = {
-        name: values
-        for chunk in in_chunks(names, 12)
-        for name, values in _narrow(numbers.select(*map(cell, chunk)), chunk, probabilities, bracket_values, accuracy).items()
-    }
+    found = _narrow(numbers, names, probabilities, bracket_values, accuracy)
     return numbers.sparkSession.range(1).select(
         *[
             (F.array(*[F.lit(v) for v in found[n]]) if found[n] else F.lit(None).cast("array<double>")).alias(n)
@@ -74,35 +68,47 @@ def exact_quantiles(
     )
 
 
+def _cells(numbers: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(c, value) rows of all columns: position of the column, number."""
+    arrays = F.array(*[F.struct(F.lit(i).alias("c"), cell(n).alias("value")) for i, n in enumerate(names)])
+    return numbers.select(F.inline(arrays)).where(F.col("value").isNotNull())
+
+
+def _between(low: float, high: float, share: float) -> float:
+    # Not low + (high - low) * 0, which has no value between infinities.
+    return low if share == 0 or low == high else low + (high - low) * share
+
+
 def _narrow(numbers, names, probabilities, bracket_values, accuracy) -> dict[str, list[float] | None]:
-    base = numbers.agg(
-        *[F.count(cell(n)).alias(f"n_{i}") for i, n in enumerate(names)],
-        *[F.min(cell(n)).alias(f"lo_{i}") for i, n in enumerate(names)],
-        *[F.max(cell(n)).alias(f"hi_{i}") for i, n in enumerate(names)],
-        *[F.approx_count_distinct(cell(n)).alias(f"d_{i}") for i, n in enumerate(names)],
-    ).first()
+    cells = _cells(numbers, names)
+    measured = cells.groupBy("c").agg(
+        F.count("*").alias("n"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.approx_count_distinct("value").alias("distinct"),
+    )
+    base = {names[r["c"]]: r for r in measured.toLocalIterator()}
     brackets: dict[tuple[str, int], Bracket] = {}
-    for i, name in enumerate(names):
-        n = base[f"n_{i}"]
-        for p in probabilities if n else ():
-            place = p * (n - 1)
+    for name, r in base.items():
+        for p in probabilities:
+            place = p * (r["n"] - 1)
             for rank in {math.floor(place), math.ceil(place)}:
-                few = base[f"d_{i}"] <= bracket_values
-                brackets[name, rank] = Bracket(name, rank, base[f"lo_{i}"], base[f"hi_{i}"], 0, n, few)
-    while any(not b.done() for b in brackets.values()):
-        _shrink(numbers, [b for b in brackets.values() if not b.done()], bracket_values, accuracy)
-    values = _values_at(numbers, list(brackets.values()))
+                few = r["distinct"] <= bracket_values
+                brackets[name, rank] = Bracket(name, rank, r["low"], r["high"], 0, r["n"], few)
+    while waiting := [b for b in brackets.values() if not b.done()]:
+        for chunk in in_chunks(waiting, BRACKETS_AT_ONCE):
+            _shrink(numbers, chunk, bracket_values, accuracy)
+    values = _values_at(cells, names, list(brackets.values()))
     out: dict[str, list[float] | None] = {}
-    for i, name in enumerate(names):
-        n = base[f"n_{i}"]
-        if not n:
+    for name in names:
+        if name not in base:
             out[name] = None
             continue
         out[name] = []
         for p in probabilities:
-            place = p * (n - 1)
-            low, high = values[name, math.floor(place)], values[name, math.ceil(place)]
-            out[name].append(low + (high - low) * (place - math.floor(place)))
+            place = p * (base[name]["n"] - 1)
+            low, high = math.floor(place), math.ceil(place)
+            out[name].append(_between(values[name, low], values[name, high], place - low))
     return out
 
 
@@ -147,7 +153,8 @@ def _shrink(numbers: DataFrame, brackets: list[Bracket], bracket_values: int, ac
 
 
 def _halve(numbers: DataFrame, b: Bracket, bracket_values: int) -> None:
-    middle = b.low / 2 + b.high / 2
+    # Infinite ends have no middle.
+    middle = max(b.low, -LARGEST) / 2 + min(b.high, LARGEST) / 2
     value = cell(b.column)
     row = numbers.where(_within(b)).agg(
         F.count_if(value <= middle).alias("left"),
@@ -163,27 +170,37 @@ def _halve(numbers: DataFrame, b: Bracket, bracket_values: int) -> None:
         b.few = row["right_d"] <= bracket_values
 
 
-def _values_at(numbers: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, int], float]:
+def _values_at(cells: DataFrame, names: Sequence[str], brackets: list[Bracket]) -> dict[tuple[str, int], float]:
+    """The value at each rank, in one job over the distinct values of all brackets."""
     values = {(b.column, b.rank): b.low for b in brackets if b.low == b.high}
     open_ones = [b for b in brackets if b.low != b.high]
-    for chunk in in_chunks(open_ones, 24):
-        parts = [
-            numbers.where(_within(b))
-            .groupBy(cell(b.column).alias("value"))
-            .agg(F.count("*").alias("n"))
-            .select(F.lit(i).alias("i"), F.lit(b.rank - b.below).alias("place"), "value", "n")
-            for i, b in enumerate(chunk)
-        ]
-        union = parts[0]
-        for part in parts[1:]:
-            union = union.union(part)
-        upto = W.partitionBy("i").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-        hits = (
-            union.withColumn("upto", F.sum("n").over(upto))
-            .where(F.col("upto") > F.col("place"))
-            .groupBy("i")
-            .agg(F.min("value").alias("value"))
+    if not open_ones:
+        return values
+    at = {n: i for i, n in enumerate(names)}
+    spans = sorted({(at[b.column], b.low, b.high) for b in open_ones})
+    span_of = {span: k for k, span in enumerate(spans)}
+    spark = cells.sparkSession
+    within = spark.createDataFrame(
+        [(k, c, low, high) for (c, low, high), k in span_of.items()], "span int, of int, low double, high double"
+    )
+    wanted = spark.createDataFrame(
+        [(span_of[at[b.column], b.low, b.high], b.column, b.rank, b.rank - b.below) for b in open_ones],
+        "span int, column string, rank long, place long",
+    )
+    counts = (
+        cells.join(
+            # A row per bracket: two for each column and probability.
+            F.broadcast(within),
+            (F.col("c") == F.col("of")) & F.col("value").between(F.col("low"), F.col("high")),
         )
-        for row in hits.toLocalIterator():
-            values[chunk[row["i"]].column, chunk[row["i"]].rank] = row["value"]
-    return values
+        .groupBy("span", "value")
+        .agg(F.count("*").alias("n"))
+    )
+    upto = F.sum("n").over(W.partitionBy("span").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    hits = (
+        counts.withColumn("upto", upto)
+        .join(F.broadcast(wanted), "span")
+        .where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place")))
+        .select("column", "rank", "value")
+    )
+    return values | {(r["column"], r["rank"]): r["value"] for r in hits.toLocalIterator()}

@@ -121,7 +121,7 @@ def test_exact_quantiles(spark, name, accuracy):
     values = QUANTILE_CASES[name]
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    row = exact_quantiles(df, ["v"], probabilities, in_memory_cells=0, bracket_values=10, accuracy=accuracy).first()
+    row = exact_quantiles(df, ["v"], probabilities, bracket_values=10, accuracy=accuracy).first()
     ordered = sorted(float(v) for v in values)
     for p, got in zip(probabilities, row["v"]):
         place = p * (len(ordered) - 1)
@@ -131,9 +131,18 @@ def test_exact_quantiles(spark, name, accuracy):
 
 def test_exact_quantiles_skip_missing(spark):
     df = spark.createDataFrame([(float("nan"), None), (1.0, None), (3.0, None)], "v double, e double")
-    for limit in (0, 10**6):
-        row = exact_quantiles(df, ["v", "e"], [0.5], in_memory_cells=limit).first()
-        assert row["v"] == [2.0] and row["e"] is None
+    row = exact_quantiles(df, ["v", "e"], [0.5]).first()
+    assert row["v"] == [2.0] and row["e"] is None
+    assert exact_quantiles(df.limit(0), ["v"], [0.5]).first()["v"] is None
+
+
+def test_exact_quantiles_with_infinities(spark):
+    values = [float("-inf")] * 3 + [float(i) for i in range(40)] + [float("inf")] * 2
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    probabilities = [k / 44 for k in (0, 2, 3, 20, 42, 43, 44)]
+    assert exact_quantiles(df, ["v"], probabilities, bracket_values=4, accuracy=20).first()["v"] == [
+        values[k] for k in (0, 2, 3, 20, 42, 43, 44)
+    ]
 
 
 def test_order_without_one_task(spark):
