@@ -1,7 +1,7 @@
 """Trends, fits, forecasts and yearly patterns.
 
-The tables are aggregated to one row per month or year first; the windows
-below run over those few rows only.
+The tables are aggregated to one row per month or year first; windows run over
+those few rows only. Points per number are ranked by ranges.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from facetframe.functions.text import capitalised
 from facetframe.operators.aggregate import count_per_value, count_per_year, mean_per_month, mean_per_number
 from facetframe.operators.frames import cell, kind_of, stacked, with_one_row
+from facetframe.operators.ordering import numbered
 
 
 def fit(points: DataFrame, x: str, y: str) -> DataFrame:
@@ -35,14 +36,13 @@ def fit(points: DataFrame, x: str, y: str) -> DataFrame:
 
 def monthly_points(df: DataFrame, value: str, time: str) -> DataFrame:
     """(x, period, value): means per month (or per number), x = 0, 1, 2, ..."""
-    numeric_time = kind_of(df.schema[time].dataType) == "numeric"
-    if numeric_time:
-        series = mean_per_number(df, time, value)
-        order = F.col("period").cast("double")
+    if kind_of(df.schema[time].dataType) == "numeric":
+        # As many rows as distinct numbers, which may be the table's: no window in one task.
+        series = numbered(mean_per_number(df, time, value).select("period", "value"), F.col("period").cast("double"), "x")
     else:
         series = mean_per_month(df, time, value, limit=None, digits=None)
-        order = F.col("period")
-    return series.withColumn("x", F.row_number().over(W.orderBy(order)) - 1).select("x", "period", "value")
+        series = series.withColumn("x", F.row_number().over(W.orderBy("period")))
+    return series.select((F.col("x") - 1).alias("x"), "period", "value")
 
 
 def _direction(slope: Column, r2: Column, deviation: Column, n: Column) -> Column:

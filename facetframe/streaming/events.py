@@ -66,28 +66,21 @@ def session_seconds(first: Column, last: Column) -> Column:
     return F.greatest(F.lit(1), F.round((last - first) / 1_000_000.0).cast("long"))
 
 
-def sessions(df: DataFrame, user: str, ts: str, gap_seconds: int, chunk_seconds: int = 86_400) -> DataFrame:
+def sessions(df: DataFrame, user: str, ts: str, gap_seconds: int) -> DataFrame:
     """(user, session_no, first_at, last_at, events, duration).
 
-    A pause longer than the gap ends a session. Events are first joined to
-    part-sessions inside (user, chunk), so one user's events spread over
-    tasks; only the part-sessions, at least a gap or a chunk apart, are then
-    joined per user.
+    A pause longer than the gap ends a session. Time is cut into cells as wide as
+    the gap: events of one cell belong to one session, so a cell is a partial
+    aggregate, combined before the shuffle. The window per user then sees at most
+    one row per gap, however many events the user has.
     """
     gap = gap_seconds * 1_000_000
-    chunk = max(chunk_seconds, gap_seconds) * 1_000_000
-    moments = (
-        df.where(cell(ts).isNotNull())
-        .groupBy(cell(user).alias(user), F.unix_micros(cell(ts).cast("timestamp")).alias("_t"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_chunk", F.col("_t") - F.pmod(F.col("_t"), F.lit(chunk)))
-    )
-    inside = W.partitionBy(user, "_chunk").orderBy("_t")
+    width = max(gap, 1)
     parts = (
-        moments.withColumn("_new", (F.col("_t") - F.lag("_t").over(inside) > gap).cast("int"))
-        .withColumn("_part", F.coalesce(F.sum("_new").over(inside), F.lit(0)))
-        .groupBy(user, "_chunk", "_part")
-        .agg(F.min("_t").alias("_from"), F.max("_t").alias("_to"), F.sum("_n").alias("_n"))
+        df.where(cell(ts).isNotNull())
+        .select(cell(user).alias(user), F.unix_micros(cell(ts).cast("timestamp")).alias("_t"))
+        .groupBy(user, (F.col("_t") - F.pmod(F.col("_t"), F.lit(width))).alias("_cell"))
+        .agg(F.min("_t").alias("_from"), F.max("_t").alias("_to"), F.count("*").alias("_n"))
     )
     whole = W.partitionBy(user).orderBy("_from")
     return (

@@ -91,7 +91,7 @@ def test_sessions(spark):
     rows = [(u, rng.randrange(0, 20 * 86_400)) for u in (1, 1, 1, 2) for _ in range(150)]
     df = spark.createDataFrame(rows, "u long, s long").withColumn("ts", F.timestamp_seconds("s"))
     found = sorted(
-        (r["u"], r["events"], r["duration"]) for r in sessions(df, "u", "ts", 7200, 6 * 3600).collect()
+        (r["u"], r["events"], r["duration"]) for r in sessions(df, "u", "ts", 7200).collect()
     )
     wanted = []
     for u in (1, 2):
