@@ -276,7 +276,8 @@ def low_cardinality_values(df: DataFrame, columns: Sequence[str], at_most: int =
 
     The columns are chosen by their exact counts (one row per column reaches
     the driver), which shuffle digests of long texts; only the values of the
-    chosen ones, `at_most` each, are then gathered.
+    chosen ones, `at_most` each, are then gathered. The server's rule takes 24
+    values, the browser's 20 and text columns alone.
     """
     counts = column_counts(df, columns, blank_is_missing=True)
     few = [r["column"] for r in counts.where(F.col("unique_count") <= at_most).collect()]
@@ -292,7 +293,8 @@ def value_mentions(
     """(keep..., column, value): a value of each column that a message holds.
 
     `server` takes the first value by name, `browser` the longest one and
-    compares without punctuation.
+    compares without punctuation; a value that is one side of `a vs b` is no
+    mention there.
     """
     form = value_form if rules == "server" else question_form
     width = F.length("value") if rules == "browser" else F.lit(0)
@@ -310,10 +312,14 @@ def value_mentions(
             F.get(F.filter(c["entries"], lambda e: F.col("_text").contains(e["form"])), F.lit(0))["value"].alias("value"),
         ),
     )
-    return (
-        prepared.select(*[cell(k) for k in keep], F.inline(hits))
-        .where(F.col("value").isNotNull())
-    )
+    if rules == "browser":
+        sides = F.array(*[question_form(side) for side in compared_pair(cell(text))])
+        found = prepared.select(*[cell(k) for k in keep], sides.alias("_sides"), F.inline(hits))
+        compared = F.exists("_sides", lambda side: side.eqNullSafe(question_form(F.col("value"))))
+        found = found.where(~compared).drop("_sides")
+    else:
+        found = prepared.select(*[cell(k) for k in keep], F.inline(hits))
+    return found.where(F.col("value").isNotNull())
 
 
 def recent_topics(

@@ -314,3 +314,13 @@ def test_nan_is_missing_in_groups(spark):
     assert df.where(compares(df, "v", "gt", 0.0)).count() == 2
     names = spark.createDataFrame([("Sci-Fi",), ("sci fi",), ("a_b",), ("Drama!",), ("x",)], "genre string")
     assert names.where(among("genre", ["Sci-Fi", "a_b", "drama"])).count() == 4
+
+
+def test_browser_mentions_leave_out_compared_values(spark):
+    values = spark.createDataFrame([("kind", "Movie"), ("kind", "Series"), ("kind", "TV Movie")], "column string, value string")
+    asked = spark.createDataFrame(
+        [(1, "movie vs series"), (2, "show TV-Movie ratings"), (3, "compare series versus movie"), (4, None), (5, "movie rating vs series rating")],
+        "id int, text string",
+    )
+    found = messages.value_mentions(asked, "text", values, ["id"], "browser")
+    assert sorted((r["id"], r["value"]) for r in found.collect()) == [(2, "TV Movie"), (5, "Series")]

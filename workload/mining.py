@@ -183,19 +183,18 @@ def _(spark, folder):
     return messages.alias_mentions(asked(spark, folder), "long_text", COLUMNS, ["conv_id", "turn"], "local")
 
 
-def _values_sql(form, other, ranked):
+def _values_sql(form, other, ranked, left_out="false"):
     return f"""WITH {ASKED_SQL}, v AS (
         SELECT 'role' AS "column", role AS value FROM conversations GROUP BY 2
         UNION ALL SELECT 'lang', lang FROM documents GROUP BY 2),
       hits AS (SELECT conv_id, turn, v."column", v.value, row_number() OVER (PARTITION BY conv_id, turn, v."column" ORDER BY {ranked} v.value) AS r
                FROM asked, v WHERE contains({form}, {other}))
-      SELECT conv_id, turn, "column", value FROM hits WHERE r = 1"""
+      SELECT conv_id, turn, "column", value FROM hits JOIN asked USING (conv_id, turn) WHERE r = 1 AND NOT ({left_out})"""
 
 
-def _values(spark, folder):
-    roles = messages.low_cardinality_values(table(spark, folder, "conversations"), ["role", "text"])
-    langs = messages.low_cardinality_values(table(spark, folder, "documents"), ["lang", "text", "doc_id"])
-    return roles.unionByName(langs)
+def _values(spark, folder, at_most=24):
+    few = lambda name, columns: messages.low_cardinality_values(table(spark, folder, name), columns, at_most)
+    return few("conversations", ["role", "text"]).unionByName(few("documents", ["lang", "text", *(["doc_id"] if at_most == 24 else [])]))
 
 
 @query("m10_value_mentions", _values_sql(VALUE, "lower(trim(v.value))", ""))
@@ -203,10 +202,18 @@ def _(spark, folder):
     return messages.value_mentions(asked(spark, folder), "long_text", _values(spark, folder), ["conv_id", "turn"])
 
 
-@query("m10_longest_value_mentions", _values_sql(QUESTION, "lower(v.value)", "length(v.value) DESC,"))
+@query(
+    "m10_longest_value_mentions",
+    _values_sql(
+        QUESTION,
+        "lower(v.value)",
+        "length(v.value) DESC,",
+        f"coalesce({_side(1)} = lower(value), false) OR coalesce({_side(2)} = lower(value), false)",
+    ),
+)
 def _(spark, folder):
     return messages.value_mentions(
-        asked(spark, folder), "long_text", _values(spark, folder), ["conv_id", "turn"], "browser"
+        asked(spark, folder), "long_text", _values(spark, folder, 20), ["conv_id", "turn"], "browser"
     )
 
 
