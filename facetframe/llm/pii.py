@@ -37,7 +37,7 @@ _TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
 _GIVEN = "|".join(MALE_NAMES + FEMALE_NAMES)
 _SECRET_LEAD = r"""(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?"""
 PATTERNS = {
-    "secret": _SECRET_LEAD + r"""(?=[^\s"',;]{0,128}[0-9])[^\s"',;]{6,128}""",
+    "secret": _SECRET_LEAD + r"""(?=[^\s"',;0-9]*+[0-9])[^\s"',;]{6,}+""",
     "key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "email": r"(?<![._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}){1,6}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -96,6 +96,18 @@ def _same_shape(value: Column, digest: Column, hex_only: Column | None = None) -
     return F.array_join(F.transform(F.split(value, ""), draw), "")
 
 
+def _secret(value: Column, digest: Column) -> Column:
+    """A text of the same shape at any length: every 64 characters have a digest of their own."""
+
+    def block(i: Column, hex_only: Column) -> Column:
+        own = F.when(i == 0, digest).otherwise(F.sha2(F.concat_ws("\x1f", digest, i.cast("string")).cast("binary"), 512))
+        return _let(own, lambda d: _same_shape(F.substr(value, i * 64 + 1, F.lit(64)), d, hex_only))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.length(value) - 1) / 64).cast("int"))
+    hex_only = value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$")
+    return _let(hex_only, lambda h: F.array_join(F.transform(blocks, lambda i: block(i, h)), ""))
+
+
 def _refill(shape: Column, value: Column) -> Column:
     """Put the characters of a value in the places of ASCII letters and digits of a shape."""
     empty = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
@@ -187,13 +199,12 @@ def _spoken(kind: Column, digest: Column) -> Column:
 
 def surrogate(key: str, kind: Column, value: Column, draw: Column) -> Column:
     """The canonical surrogate of a canonical value, at its n-th draw."""
-    hex_only = value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-F]+$")
     first = F.substr(value, F.lit(1), F.lit(1))
 
     def drawn(digest: Column) -> Column:
         rest = lambda n: _same_shape(F.substr(value, F.lit(n)), digest)
         return (
-            F.when(kind == "secret", _same_shape(value, digest, hex_only))
+            F.when(kind == "secret", _secret(value, digest))
             .when(kind == "key", F.concat(F.substr(value, F.lit(1), F.lit(4)), rest(5)))
             .when(kind == "email", _email(key, value, draw))
             .when(kind == "iban", _iban(value, digest))
