@@ -27,8 +27,8 @@ from facetframe.llm.words import SPACED, Words, slices
 VOCABULARY = "piece_bpe_32k.model"
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of the words
-#: Spreads away from the median that are still usual.
-BAND = 6.0
+#: Spreads away from the median that are still usual, by measure.
+BAND = {"chars_per_token": 3.0, "byte_share": 3.0, "token_entropy": 2.5}
 #: Rows of a group that give a band of its own.
 GROUP_ROWS = 50
 #: Least spread of each measure, so that uniform groups reject nothing for a trifle.
@@ -169,7 +169,7 @@ def bands(rows: DataFrame) -> DataFrame:
     out = [F.col("script"), F.col("class")]
     for c in _DOUBLES:
         spread = F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(LEAST_SPREAD[c]))
-        out += [(F.col(c)[1] - BAND * spread).alias(f"low_{c}"), (F.col(c)[1] + BAND * spread).alias(f"high_{c}")]
+        out += [(F.col(c)[1] - BAND[c] * spread).alias(f"low_{c}"), (F.col(c)[1] + BAND[c] * spread).alias(f"high_{c}")]
     return found.select(*out)
 
 
