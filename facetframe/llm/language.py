@@ -143,9 +143,11 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, languages: int = MOST_LANGUAGES) -> list[tuple[str, str]]:
-    """(text, lang) of a bounded sample: as many of each language as there are, by a hash of the text."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    sizes = {r["lang"]: r["n"] for r in counts.collect()}
+    """(text, lang) of a bounded sample: as many distinct texts of each language as there are, by a hash of the text."""
+    # Copies of a text count once for the share, but each time for the most frequent languages.
+    texts = labelled.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.count("*").alias("n"))
+    counts = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = {r["lang"]: r["texts"] for r in counts.collect()}
     if not sizes:
         return []
     each = max(1, rows // len(sizes))
