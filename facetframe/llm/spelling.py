@@ -9,7 +9,8 @@ other word's prefix reaches as far in the order, it holds that bigram too. The
 place limits: the edit lies on one side of the pivot, so up to the pivot's end, or
 from its start on, the words are the same, and their lengths differ by one at most.
 A pivot therefore meets only prefix bigrams with an equal hash of that side and a
-fitting length; the edit distance then confirms each pair inside the join.
+fitting length; the letters that occur an odd number of times and then the edit
+distance confirm each pair inside the join.
 
 Cases: null words and words of under three bigrams are left out; repeated words are
 added up; an empty table gives an empty one; ties of frequency are ordered by the
@@ -39,7 +40,7 @@ CELLS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POINT_BITS = np.uint64(21)
 _UNKNOWN = np.int64(1 << 42)
-_ROWS = "key long, word string, n long, last long"
+_ROWS = "key long, word string, n long, last long, odd long"
 
 
 def gram_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +107,13 @@ def _keys(halves: np.ndarray, side: int, length: int) -> np.ndarray:
     return mixed(halves ^ mixed(np.full(1, 2 * length + side, dtype=np.uint64))).view(np.int64)
 
 
-def _entries(points: np.ndarray, order: _Order, as_pivots: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, last order) of the words of one length."""
+def _odd_letters(points: np.ndarray) -> np.ndarray:
+    """A bit per letter (modulo 64) that occurs an odd number of times: one edit turns two bits at most."""
+    return np.bitwise_xor.reduce(np.uint64(1) << (points & np.uint64(63)), axis=1).view(np.int64)
+
+
+def _entries(points: np.ndarray, order: _Order, as_pivots: bool) -> tuple[np.ndarray, ...]:
+    """(row, key, last order, odd letters) of the words of one length."""
     length = points.shape[1]
     ranks, frequency = order.of((points[:, :-1] << _POINT_BITS) | points[:, 1:])
     prefix, last, chosen = pivots(ranks, frequency)
@@ -119,7 +125,8 @@ def _entries(points: np.ndarray, order: _Order, as_pivots: bool) -> tuple[np.nda
         row, place = np.nonzero(prefix)
         lengths = (length,)
     found = [_keys(half[row, place], side, n) for side, half in enumerate(halves) for n in lengths]
-    return np.tile(row, len(found)), np.concatenate(found), np.tile(last[row], len(found))
+    row = np.tile(row, len(found))
+    return row, np.concatenate(found), last[row], _odd_letters(points)[row]
 
 
 def _gram_rows(grams: tuple[np.ndarray, np.ndarray], as_pivots: bool):
@@ -135,15 +142,16 @@ def _gram_rows(grams: tuple[np.ndarray, np.ndarray], as_pivots: bool):
                 step = max(1, CELLS // length)
                 for at in range(0, len(same), step):
                     part = same[at : at + step]
-                    row, key, last = _entries(points[starts[part][:, None] + np.arange(length)], order, as_pivots)
+                    row, key, last, odd = _entries(points[starts[part][:, None] + np.arange(length)], order, as_pivots)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(key),
                             batch.column(0).take(pa.array(part[row])),
                             pa.array(numbers[part[row]]),
                             pa.array(last),
+                            pa.array(odd),
                         ],
-                        names=["key", "word", "n", "last"],
+                        names=["key", "word", "n", "last", "odd"],
                     )
 
     return run
@@ -163,6 +171,7 @@ def near_words(words: DataFrame) -> DataFrame:
         right,
         (F.col("p.key") == F.col("q.key"))
         & (F.col("p.last") <= F.col("q.last"))
+        & (F.bit_count(F.col("p.odd").bitwiseXOR(F.col("q.odd"))) <= 2)
         & (F.col("p.word") != F.col("q.word"))
         & (F.levenshtein(F.col("p.word"), F.col("q.word"), 1) == 1),
     ).select(
