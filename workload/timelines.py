@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from facetframe.operators.intervals import overlap_join, points_in_spans
 from facetframe.operators.lattice import cube_sets, grouping_sets, rollup_sets
+from facetframe.operators.samples import stratified
+from facetframe.operators.sketches import daily_sketches, estimates, merged
 from facetframe.operators.timeline import asof_join, sliding
+from facetframe.session import scratch_path
 from facetframe.streaming import events
 from workload.base import query, table
 from workload.mining import SESSION_SQL
@@ -175,3 +178,58 @@ def _(spark, folder):
         "o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")
     )
     return grouping_sets(rows, [["o_orderstatus"], ["o_orderpriority"], []], {"orders": ("count", "*")}, {"days": "day"})
+
+
+@query(
+    "n6_sketches_by_week",
+    """SELECT event_type, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near,
+              true AS median_near, true AS labels_near
+       FROM events GROUP BY ALL""",
+)
+def _(spark, folder):
+    """Weeks merged from daily sketches that were written, held against exact values."""
+    rows = table(spark, folder, "events").select("event_type", "ts", "value", "user_id", "props")
+    path = scratch_path(spark, "daily-sketches")
+    daily_sketches(rows, ["event_type"], "ts", "value", "user_id", "props").write.parquet(path)
+    stored = spark.read.parquet(path)
+    week = F.date_trunc("week", F.col("day")).cast("date")
+    known = estimates(merged(stored, ["event_type"], week, "week"), [0.5], 1)
+    exact = rows.withColumn("week", F.date_trunc("week", "ts").cast("date"))
+    users = exact.groupBy("event_type", "week").agg(F.count_distinct("user_id").alias("users"))
+    labels = exact.groupBy("event_type", "week", "props").agg(F.count("*").alias("c")).groupBy("event_type", "week").agg(F.max("c").alias("most"))
+    # The share of values up to the estimated median.
+    middle = known.select("event_type", "week", F.col("quantiles")[0].alias("median"))
+    ranks = exact.join(middle, ["event_type", "week"]).groupBy("event_type", "week").agg(
+        F.avg((F.col("value") <= F.col("median")).cast("int")).alias("rank")
+    )
+    whole = known.join(users, ["event_type", "week"]).join(labels, ["event_type", "week"]).join(ranks, ["event_type", "week"])
+    return whole.select(
+        "event_type",
+        "week",
+        "n",
+        "users",
+        (F.abs(F.col("distinct") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * 0.08)).alias("users_near"),
+        F.col("rank").between(0.45, 0.55).alias("median_near"),
+        (F.col("frequent")[0]["n"] == F.col("most")).alias("labels_near"),
+    )
+
+
+@query(
+    "n7_stratified_documents",
+    """SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (
+         PARTITION BY lang, source ORDER BY substr(md5('s1' || doc_id), 1, 15)) AS place FROM documents) WHERE place <= 7""",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "documents").select("doc_id", "lang", "source")
+    return stratified(rows, ["lang", "source"], "doc_id", 7, seed="s1")
+
+
+@query(
+    "n7_weighted_documents",
+    """SELECT doc_id, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY
+         ln(-ln((CAST('0x' || substr(md5('s2' || doc_id), 1, 15) AS BIGINT) // 256 + 0.5) / 4503599627370496.0)) - ln(n_chars)) AS place
+       FROM documents WHERE n_chars > 0) WHERE place <= 40""",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
+    return stratified(rows, ["lang"], "doc_id", 40, weight="n_chars", seed="s2")
