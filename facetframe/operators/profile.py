@@ -12,70 +12,88 @@ from facetframe.functions.dates import DATE_SHAPES, REPORT_DATE_SHAPES, lenient_
 from facetframe.functions.numbers import finite, formatted_number, plain_number, strict_number, without_nan
 from facetframe.functions.text import blank_to_null, key_form, short_form
 from facetframe.operators.frames import (
-    AGG_BUFFERS,
     cell,
-    in_chunks,
     kind_of,
     numeric_columns,
     order_columns,
-    rows_of,
     stacked,
     value_counts,
 )
-from facetframe.operators.quantiles import exact_quantiles
+from facetframe.operators.quantiles import number_cells, quantiles_of
+from facetframe.session import checkpointed
 
-# Columns whose texts are parsed in one aggregate; more make its code too long to compile.
-PARSED_COLUMNS = 2
+# ---------------------------------------------------------------- counts
 
 
-# ---------------------------------------------------------------- counts
+def typed_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(c, b, d, s): each cell as a whole number, a double or a text, by the type of its column; c is its position."""
 
+    def cell_of(i: int, name: str) -> Column:
+        kind = df.schema[name].dataType
+        whole = isinstance(kind, T.IntegralType)
+        floating = isinstance(kind, (T.DoubleType, T.FloatType))
+        as_type = lambda wanted, name_of: (cell(name) if wanted else F.lit(None)).cast(name_of)
+        return F.struct(
+            F.lit(i).alias("c"),
+            as_type(whole, "bigint").alias("b"),
+            as_type(floating, "double").alias("d"),
+            as_type(not whole and not floating, "string").alias("s"),
+        )
 
-def _families(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Columns by the type their cells are counted in, so that numbers stay numbers."""
-    families: dict[str, list[str]] = {"bigint": [], "double": [], "string": []}
-    for field in df.schema.fields:
-        if field.name not in columns:
-            continue
-        if isinstance(field.dataType, T.IntegralType):
-            families["bigint"].append(field.name)
-        elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            families["double"].append(field.name)
-        else:
-            families["string"].append(field.name)
-    return {kind: names for kind, names in families.items() if names}
+    return df.select(F.inline(F.array(*[cell_of(i, name) for i, name in enumerate(columns)])))
 
 
-def column_counts(df: DataFrame, columns: Sequence[str] | None = None, blank_is_missing: bool = False) -> DataFrame:
-    """(column, row_count, filled, missing, unique_count), one pass for all columns of a type.
+def named(per_column: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of (c, ...) with the name of the column in place of its position."""
+    name = F.element_at(F.array(*[F.lit(n) for n in columns]), F.col("c") + 1)
+    return per_column.select(name.alias("column"), *[x for x in per_column.columns if x != "c"])
+
+
+def every_column(per_column: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of (c, ...) named, with a row of nulls for each column that has none."""
+    places = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(n).alias("column")) for i, n in enumerate(columns)])
+    places = places if columns else F.array().cast("array<struct<c:int,column:string>>")
+    base = per_column.sparkSession.range(1).select(F.inline(places))
+    # At most one row per column.
+    return base.join(F.broadcast(per_column), "c", "left").drop("c")
+
+
+def _typed_counts(df: DataFrame, columns: Sequence[str], text: Callable[[Column], Column], parse=None) -> DataFrame:
+    """(c, b, d, s, parsed, n): each distinct cell of each column with its number, combined before the shuffle.
 
-    Long texts are counted by digest, so the shuffle carries 64 characters for
-    each of them and not the text.
+    Long texts become digests; what `parse` makes of such a text (whether it is
+    anything) is told by `parsed`, as the digest no longer can.
     """
+    cells = typed_cells(df, columns).withColumn("s", text(F.col("s")))
+    short = short_form(F.col("s"))
+    told = F.lit(None).cast("boolean") if parse is None else F.when(short != F.col("s"), parse(F.col("s")).isNotNull())
+    return cells.select("c", "b", "d", short.alias("s"), told.alias("parsed")).groupBy("c", "b", "d", "s", "parsed").agg(F.count("*").alias("n"))
 
-    def part(kind: str, names: list[str]) -> DataFrame:
-        typed = df.select(*[cell(c).cast(kind).alias(c) for c in names])
-        cells = typed.unpivot([], [cell(c) for c in names], "column", "value")
-        value = F.col("value")
-        if kind == "double":
-            value = F.when(~F.isnan(value), value)
-        if kind == "string":
-            value = blank_to_null(value) if blank_is_missing else value
-            value = short_form(value)
-        return (
-            cells.select("column", value.alias("value"))
-            .groupBy("column", "value")
-            .agg(F.count("*").alias("n"))
-            .groupBy("column")
-            .agg(
-                F.sum("n").alias("row_count"),
-                F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("filled"),
-                F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
-                F.count("value").alias("unique_count"),
-            )
-        )
 
-    return stacked([part(kind, names) for kind, names in _families(df, list(columns or df.columns)).items()])
+def _is_filled() -> Column:
+    """Whether a typed cell holds something; not a number is nothing."""
+    number = F.col("b").isNotNull() | (F.col("d").isNotNull() & ~F.isnan("d"))
+    return F.coalesce(number | F.col("s").isNotNull(), F.lit(False))
+
+
+def _count_fields() -> list[Column]:
+    return [
+        F.sum("n").alias("row_count"),
+        F.sum(F.when(_is_filled(), F.col("n")).otherwise(0)).alias("filled"),
+        F.sum(F.when(_is_filled(), 0).otherwise(F.col("n"))).alias("missing"),
+        F.count_if(_is_filled()).alias("unique_count"),
+    ]
+
+
+def column_counts(df: DataFrame, columns: Sequence[str] | None = None, blank_is_missing: bool = False) -> DataFrame:
+    """(column, row_count, filled, missing, unique_count), one pass for all columns.
+
+    Numbers are counted as numbers, long texts by digest, so the shuffle carries 64
+    characters for each of them and not the text.
+    """
+    columns = list(columns or df.columns)
+    counts = _typed_counts(df, columns, blank_to_null if blank_is_missing else lambda s: s)
+    return named(counts.groupBy("c").agg(*_count_fields()), columns)
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 10, counts: DataFrame | None = None) -> DataFrame:
@@ -127,53 +145,48 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- numeric summaries
 
 
-# Aggregates and the number of buffers each one keeps.
-_MOMENTS: dict[str, tuple[Callable[[Column], Column], int]] = {
-    "n": (F.count, 1),
-    "min": (F.min, 1),
-    "max": (F.max, 1),
-    "mean": (F.avg, 2),
-    "std": (F.stddev_samp, 3),
-    "pop_std": (F.stddev_pop, 3),
-    "sum": (F.sum, 1),
-    "g1": (F.skewness, 4),
-    "g2": (F.kurtosis, 5),
+_MOMENTS: dict[str, Callable[[Column | str], Column]] = {
+    "n": F.count,
+    "min": F.min,
+    "max": F.max,
+    "mean": F.avg,
+    "std": F.stddev_samp,
+    "pop_std": F.stddev_pop,
+    "sum": F.sum,
+    "g1": F.skewness,
+    "g2": F.kurtosis,
 }
 NUMERIC_FIELDS = ("min", "max", "average", "median", "std", "sum")
 SUMMARY = ("n", "min", "max", "mean", "std", "sum")
 
 
-def numeric_aggregates(
-    df: DataFrame, values: dict[str, Column], fields: Sequence[str] = SUMMARY, most: int = AGG_BUFFERS
-) -> DataFrame:
-    """(column, <fields>), unrounded. Fields: n, min, max, mean, std, pop_std, sum, g1, g2.
-
-    `most` is the number of columns that may share one aggregate.
-    """
+def parsed_cells(df: DataFrame, columns: Sequence[str], parse: Callable[[Column], Column]) -> DataFrame:
+    """(c, value) rows of the numbers of all columns; texts are parsed once they are rows, by one expression."""
+    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
 
-    def part(names: Sequence[str]) -> DataFrame:
-        numbers = df.select(*[without_nan(values[n]).alias(f"v{i}") for i, n in enumerate(names)])
-        index = {n: i for i, n in enumerate(names)}
-        wide = numbers.agg(
-            *[_MOMENTS[field][0](F.col(f"v{i}")).alias(f"{field}_{i}") for i in range(len(names)) for field in fields]
-        )
-        return rows_of(
-            wide, names, {field: (lambda name, field=field: F.col(f"{field}_{index[name]}")) for field in fields}
+    def cell_of(i: int, name: str) -> Column:
+        number = kinds[name] == "numeric"
+        return F.struct(
+            F.lit(i).alias("c"),
+            (cell(name) if number else F.lit(None)).cast("double").alias("d"),
+            (F.lit(None) if number else cell(name)).cast("string").alias("s"),
         )
 
-    width = max(1, min(most, AGG_BUFFERS // sum(_MOMENTS[f][1] for f in fields)))
-    return stacked([part(chunk) for chunk in in_chunks(list(values), width)])
+    cells = df.select(F.inline(F.array(*[cell_of(i, name) for i, name in enumerate(columns)])))
+    if all(kinds[name] == "numeric" for name in columns):
+        value = F.col("d")
+    else:
+        value = F.coalesce("d", parse(F.col("s")))
+    return cells.select("c", value.alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def quantile_rows(df: DataFrame, values: dict[str, Column], probabilities: dict[str, float]) -> DataFrame:
-    """(column, <name of each probability>)."""
-    names = list(values)
-    safe = {f"q{i}": values[n] for i, n in enumerate(names)}
-    wide = exact_quantiles(df, safe, list(probabilities.values()))
-    fields = {
-        out: (lambda name, at=at: F.col(f"q{names.index(name)}")[at]) for at, out in enumerate(probabilities)
-    }
-    return rows_of(wide, names, fields)
+def numeric_aggregates(df: DataFrame, values: dict[str, Column], fields: Sequence[str] = SUMMARY) -> DataFrame:
+    """(column, <fields>), unrounded, one pass for all columns. Fields: n, min, max, mean, std, pop_std, sum, g1, g2."""
+    cells, names = number_cells(df, values)
+    found = cells.groupBy("c").agg(*[_MOMENTS[field]("value").alias(field) for field in fields])
+    return every_column(found, names).select(
+        "column", *[F.coalesce(f, F.lit(0)).alias(f) if f == "n" else F.col(f) for f in fields]
+    )
 
 
 def numeric_values(df: DataFrame, columns: Sequence[str] | None = None, parse=plain_number) -> dict[str, Column]:
@@ -182,36 +195,39 @@ def numeric_values(df: DataFrame, columns: Sequence[str] | None = None, parse=pl
     return {c: cell(c).cast("double") if kinds[c] == "numeric" else parse(cell(c)) for c in chosen}
 
 
+def _measured(
+    df: DataFrame, columns: Sequence[str], parse, fields: Sequence[str], probabilities: dict[str, float], digits: int
+) -> DataFrame:
+    """(column, fields..., quantiles...), rounded: moments come along in the first scan of the quantiles.
+
+    One row per column is fetched and comes back as literals.
+    """
+    cells = parsed_cells(df, columns, parse)
+    quantiles, measured = quantiles_of(
+        cells, len(columns), list(probabilities.values()), measures={f: _MOMENTS[f](F.col("value")) for f in fields}
+    )
+    names = [*fields, *probabilities]
+    rows = []
+    for i, column in enumerate(columns):
+        known = [measured[i][f] for f in fields] + quantiles[i] if i in measured else [0 if f == "n" else None for f in names]
+        values = [F.lit(v).cast("long" if f == "n" else "double").alias(f) for f, v in zip(names, known)]
+        rows.append(F.struct(F.lit(column).alias("column"), *values))
+    frame = df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    return frame.select("column", *[F.col(f) if f == "n" else F.round(f, digits).alias(f) for f in names])
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, parse=formatted_number, digits: int = 2) -> DataFrame:
     """(column, min, max, average, median, std, sum), rounded."""
-    values = numeric_values(df, columns, parse)
-    medians = quantile_rows(df, values, {"median": 0.5})
-    parsed = any(kind_of(df.schema[c].dataType) == "text" for c in values)
-    most = PARSED_COLUMNS if parsed else AGG_BUFFERS
-    return numeric_aggregates(df, values, most=most).join(F.broadcast(medians), "column").select(
-        "column",
-        *[
-            F.round(source, digits).alias(out)
-            for source, out in [
-                ("min", "min"),
-                ("max", "max"),
-                ("mean", "average"),
-                ("median", "median"),
-                ("std", "std"),
-                ("sum", "sum"),
-            ]
-        ],
-    )
+    columns = list(columns or numeric_columns(df))
+    found = _measured(df, columns, parse, ("min", "max", "mean", "std", "sum"), {"median": 0.5}, digits)
+    return found.select("column", "min", "max", F.col("mean").alias("average"), "median", "std", "sum")
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
-    values = numeric_values(df, columns)
-    quartiles = quantile_rows(df, values, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return numeric_aggregates(df, values, ("n", "mean", "std", "min", "max")).join(F.broadcast(quartiles), "column").select(
-        "column",
-        F.col("n").alias("count"),
-        *[F.round(c, digits).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")],
-    )
+    columns = list(columns or numeric_columns(df))
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    found = _measured(df, columns, plain_number, ("n", "mean", "std", "min", "max"), quartiles, digits)
+    return found.select("column", F.col("n").alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def variation(df: DataFrame, columns: Sequence[str] | None = None, signed: bool = False) -> DataFrame:
@@ -263,27 +279,39 @@ REPORT = TypeRules(
 )
 
 
-def _probe(df: DataFrame, column: str, order_by, rules: TypeRules) -> DataFrame:
-    """Shares of dates and numbers among the first filled cells of one column.
+#: Rows of the head that is read for all columns at once, per cell that a rule looks at.
+HEAD_ROWS = 4
 
-    The head is a top-k per partition on the order key; only that key and the
-    column are read.
+
+def _probes(df: DataFrame, columns: Sequence[str], order_by, rules: TypeRules) -> DataFrame:
+    """(column, date_share, number_share) among the first filled cells of each text column.
+
+    All columns share the head of the table, a top-k per partition on the order key.
+    Columns too empty there are read once more, all together, with the first cells
+    of each kept before the shuffle. So there are two scans at most, however many the
+    columns.
     """
     depth = max(rules.date_probe, rules.number_probe)
-    keys = order_columns(order_by)
-    head = (
-        df.where(cell(column).isNotNull())
-        .select(F.struct(*keys).alias("_at"), cell(column).alias("v"))
-        .orderBy("_at")
-        .limit(depth)
-        .withColumn("at", F.row_number().over(W.orderBy("_at")))
-    )
-    early = F.col("at") <= rules.date_probe
-    probe = F.col("at") <= rules.number_probe
-    return head.agg(
+    texts = df.select(F.struct(*order_columns(order_by)).alias("_at"), *[cell(c).cast("string").alias(f"_t{i}") for i, c in enumerate(columns)])
+    head = checkpointed(texts.orderBy("_at").limit(depth * HEAD_ROWS))
+    filled = head.agg(F.count("*").alias("rows"), *[F.count(f"_t{i}").alias(f"_t{i}") for i in range(len(columns))]).first()
+    whole = filled["rows"] < depth * HEAD_ROWS
+    sparse = [] if whole else [i for i in range(len(columns)) if filled[f"_t{i}"] < depth]
+
+    def first_cells(rows: DataFrame, chosen: Sequence[int]) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"_t{i}").alias("v")) for i in chosen])
+        each = rows.select("_at", F.inline(cells)).where("v IS NOT NULL")
+        at = F.row_number().over(W.partitionBy("c").orderBy("_at"))
+        return each.withColumn("at", at).where(F.col("at") <= depth)
+
+    chosen = [i for i in range(len(columns)) if i not in sparse]
+    parts = ([first_cells(head, chosen)] if chosen else []) + ([first_cells(texts, sparse)] if sparse else [])
+    early, probe = F.col("at") <= rules.date_probe, F.col("at") <= rules.number_probe
+    shares = stacked(parts).groupBy("c").agg(
         F.avg(F.when(early, looks_like_date(F.col("v"), rules.date_shapes).cast("int"))).alias("date_share"),
         F.avg(F.when(probe, rules.parse(F.col("v")).isNotNull().cast("int"))).alias("number_share"),
-    ).select(F.lit(column).alias("column"), "date_share", "number_share")
+    )
+    return named(shares, columns)
 
 
 def kinds_frame(df: DataFrame) -> DataFrame:
@@ -301,8 +329,7 @@ def detected_types(
     counts = column_counts(df) if counts is None else counts
     base = counts.join(F.broadcast(kinds_frame(df)), "column")
     if texts:
-        probes = stacked([_probe(df, c, order_by, rules) for c in texts])
-        base = base.join(F.broadcast(probes), "column", "left")
+        base = base.join(F.broadcast(_probes(df, texts, order_by, rules)), "column", "left")
     else:
         base = base.withColumn("date_share", F.lit(None).cast("double")).withColumn(
             "number_share", F.lit(None).cast("double")
@@ -334,25 +361,25 @@ def legacy_types(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
     names = list(kinds)
 
-    def is_flag(c: str) -> Column:
-        if kinds[c] in ("numeric", "boolean"):
-            number = cell(c).cast("double")
-            return F.bool_and(number.isin(0.0, 1.0))
-        lowered = F.lower(cell(c).cast("string"))
-        return reduce(lambda a, b: a | b, [F.bool_and(lowered.isin(*pair)) for pair in FLAG_PAIRS])
-
-    def part(chunk: Sequence[str]) -> DataFrame:
-        wide = df.agg(*[is_flag(c).alias(f"flag_{i}") for i, c in enumerate(chunk)])
-        return rows_of(
-            wide,
-            chunk,
-            {
-                "is_flag": lambda c: F.coalesce(F.col(f"flag_{list(chunk).index(c)}"), F.lit(False)),
-                "is_number": lambda c: F.lit(kinds[c] in ("numeric", "boolean")),
-            },
-        )
-
-    flags = stacked([part(chunk) for chunk in in_chunks(names)])
+    cells = typed_cells(df, names)
+    decimals = [i for i, c in enumerate(names) if isinstance(df.schema[c].dataType, T.DecimalType)]
+    is_decimal = F.array_contains(F.array(*[F.lit(i) for i in decimals]).cast("array<int>"), F.col("c"))
+    number = F.coalesce(F.col("b").cast("double"), F.col("d"), F.when(is_decimal, F.col("s").try_cast("double")))
+    lowered = F.lower("s")
+    pairs = [F.bool_and(lowered.isin(*pair)) for pair in FLAG_PAIRS]
+    is_bool = F.array_contains(F.array(*[F.lit(i) for i, c in enumerate(names) if kinds[c] == "boolean"]).cast("array<int>"), F.col("c"))
+    # Booleans are texts here: their pair of words is true and false.
+    found = cells.groupBy("c").agg(
+        F.bool_and(F.when(is_bool, lowered.isin("true", "false")).otherwise(number.isin(0.0, 1.0))).alias("_numbers"),
+        *[p.alias(f"_pair{i}") for i, p in enumerate(pairs)],
+    )
+    is_number = reduce(lambda a, b: a | b, [F.col("column") == c for c, k in kinds.items() if k in ("numeric", "boolean")], F.lit(False))
+    worded = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_pair{i}"), F.lit(False)) for i in range(len(pairs))])
+    flags = every_column(found, names).select(
+        "column",
+        is_number.alias("is_number"),
+        F.when(is_number, F.coalesce("_numbers", F.lit(False))).otherwise(worded).alias("is_flag"),
+    )
     named_date = reduce(lambda a, b: a | b, [F.lower("column").contains(p) for p in DATE_NAME_PARTS])
     return counts.join(F.broadcast(flags), "column").select(
         "column",
@@ -369,35 +396,28 @@ def legacy_types(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
 
 def ratio_types(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(position, column, row_count, filled, unique_count, detected_type) by shares over the full column."""
-    counts = column_counts(df, blank_is_missing=True) if counts is None else counts
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-
-    def hits(c: str, want: str, parse) -> Column:
-        if kinds[c] == want:
-            return F.count(cell(c))
-        if kinds[c] != "text":
-            return F.lit(0)
-        return F.count(parse(cell(c)))
-
-    def part(chunk: Sequence[str]) -> DataFrame:
-        wide = df.agg(
-            *[hits(c, "numeric", strict_number).cast("long").alias(f"num_{i}") for i, c in enumerate(chunk)],
-            *[hits(c, "datetime", lenient_timestamp).cast("long").alias(f"ts_{i}") for i, c in enumerate(chunk)],
-        )
-        return rows_of(
-            wide,
-            chunk,
-            {
-                "numbers": lambda c: F.col(f"num_{list(chunk).index(c)}"),
-                "dates": lambda c: F.col(f"ts_{list(chunk).index(c)}"),
-            },
+    names = df.columns
+    is_a = lambda k: F.array_contains(F.array(*[F.lit(i) for i, c in enumerate(names) if kinds[c] == k]).cast("array<int>"), F.col("c"))
+    held = F.col("b").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
+    # Texts are parsed once per distinct value; one too long to keep can only be a number.
+    number = F.coalesce("parsed", strict_number(F.col("s")).isNotNull())
+    date = F.col("parsed").isNull() & lenient_timestamp(F.col("s")).isNotNull()
+    weight = lambda hit: F.sum(F.when(hit, F.col("n")).otherwise(0))
+    found = (
+        _typed_counts(df, names, blank_to_null, strict_number)
+        .groupBy("c")
+        .agg(
+            *_count_fields(),
+            weight((is_a("numeric") & held) | (is_a("text") & number)).alias("numbers"),
+            weight((is_a("datetime") & held) | (is_a("text") & date)).alias("dates"),
         )
-
-    shares = stacked([part(chunk) for chunk in in_chunks(df.columns, PARSED_COLUMNS)])
+    )
+    mine = named(found, names)
+    whole = mine if counts is None else counts.join(F.broadcast(mine.select("column", "numbers", "dates")), "column")
     few = F.greatest(F.lit(12), F.ceil(F.col("filled") * 0.2))
     return (
-        counts.join(F.broadcast(shares), "column")
-        .join(F.broadcast(kinds_frame(df)), "column")
+        whole.join(F.broadcast(kinds_frame(df)), "column")
         .select(
             "position",
             "column",
@@ -417,31 +437,21 @@ def all_numeric(df: DataFrame) -> DataFrame:
     """(column, filled, is_numeric): every non-empty cell is a finite number."""
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
 
-    def filled(c: str) -> Column:
-        return blank_to_null(cell(c)) if kinds[c] == "text" else cell(c)
-
-    def number(c: str) -> Column:
-        if kinds[c] == "numeric":
-            return finite(cell(c).cast("double"))
-        return strict_number(cell(c).cast("string"))
-
-    def part(chunk: Sequence[str]) -> DataFrame:
-        wide = df.agg(
-            *[F.count(filled(c)).alias(f"filled_{i}") for i, c in enumerate(chunk)],
-            *[F.count(number(c)).alias(f"num_{i}") for i, c in enumerate(chunk)],
-        )
-        at = {c: i for i, c in enumerate(chunk)}
-        return rows_of(
-            wide,
-            chunk,
-            {
-                "filled": lambda c: F.col(f"filled_{at[c]}"),
-                "is_numeric": lambda c: (F.col(f"num_{at[c]}") == F.col(f"filled_{at[c]}"))
-                & (F.col(f"filled_{at[c]}") > 0),
-            },
-        )
-
-    return stacked([part(chunk) for chunk in in_chunks(df.columns, PARSED_COLUMNS)])
+    names = df.columns
+    texts = F.array(*[F.lit(i) for i, c in enumerate(names) if kinds[c] == "text"]).cast("array<int>")
+    decimals = [c for c in names if kinds[c] == "numeric" and isinstance(df.schema[c].dataType, T.DecimalType)]
+    typed = df.select(*[cell(c).cast("double").alias(c) if c in decimals else cell(c) for c in names])
+    number = F.coalesce(F.col("b").cast("double"), F.col("d"))
+    text = F.when(F.array_contains(texts, F.col("c")), blank_to_null(F.col("s"))).otherwise(F.col("s"))
+    found = typed_cells(typed, names).groupBy("c").agg(
+        F.count(F.when(F.col("b").isNotNull() | F.col("d").isNotNull() | text.isNotNull(), 1)).alias("filled"),
+        F.count(F.coalesce(finite(number), strict_number(F.col("s")))).alias("_numbers"),
+    )
+    return every_column(found, names).select(
+        "column",
+        F.coalesce("filled", F.lit(0)).alias("filled"),
+        F.coalesce((F.col("_numbers") == F.col("filled")) & (F.col("filled") > 0), F.lit(False)).alias("is_numeric"),
+    )
 
 
 def with_roles(types: DataFrame) -> DataFrame:

@@ -1,53 +1,58 @@
-"""Exact quantiles (linear interpolation), by one route at any size.
-
-Count, bounds and number of distinct values of all columns come from one pass. A
-column of few distinct values is counted value by value. Otherwise the value at a
-rank is bracketed between two approximate quantiles, whose ranks are then counted
-exactly; the bracket shrinks about a thousandfold per round until its distinct
-values are few enough to be counted. One job reads the values of all brackets.
+"""Exact quantiles (linear interpolation) of all columns in two or three scans.
+
+The first scan gives count, bounds and, by one mergeable summary per column, a
+bracket around each rank; the last one counts the distinct values inside the
+brackets, and the rows between them, so that the value at each rank is read off a
+running count that is exact. Of a column so large that its brackets would hold too
+many values, one scan in between counts what lies below each bracket and cuts it into
+a fine grid. The number of scans does not depend on the number of columns or ranks. A
+rank that is not in its bracket after all (summaries promise ranks only nearly) is
+looked for in the whole column.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from facetframe.operators.frames import cell, in_chunks
+from facetframe.operators.frames import cell
 
-BRACKET_VALUES = 200_000
+BRACKET_VALUES = 20_000
 ACCURACY = 10_000
-#: Brackets that one aggregate tightens.
-BRACKETS_AT_ONCE = 12
-LARGEST = sys.float_info.max
+#: Parts that the scan in between cuts a bracket into, and how often it is repeated at most.
+GRID = 256
+MOST_GRIDS = 6
 
 
 @dataclass
-class Bracket:
-    """Where the value of one 0-based rank of one column must lie."""
+class Wanted:
+    """One column: its size, bounds, ranks, and a span (low, high, about how many rows) per probability."""
 
-    column: str
-    rank: int
+    n: int
     low: float
     high: float
-    below: int
-    inside: int
-    few: bool = False
+    distinct: int
+    spans: list[tuple[float, float, float]] = field(default_factory=list)
+
+    def ranks(self, probabilities: Sequence[float]) -> list[tuple[int, int, float]]:
+        out = []
+        for p in probabilities:
+            place = p * (self.n - 1)
+            out.append((math.floor(place), math.ceil(place), place - math.floor(place)))
+        return out
 
-    def done(self) -> bool:
-        return self.low == self.high or self.few
+    def whole(self) -> tuple[float, float, float]:
+        return self.low, self.high, 0.0
 
 
-def _numbers(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> tuple[DataFrame, list[str]]:
-    if isinstance(columns, Mapping):
-        chosen = {name: value.cast("double") for name, value in columns.items()}
-    else:
-        chosen = {name: cell(name).cast("double") for name in columns}
-    clean = [F.when(~F.isnan(v), v).alias(name) for name, v in chosen.items()]
-    return df.select(*clean), list(chosen)
+def number_cells(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> tuple[DataFrame, list[str]]:
+    """(c, value) rows of all numbers, c being the position of the column, and the columns' names."""
+    chosen = dict(columns) if isinstance(columns, Mapping) else {name: cell(name) for name in columns}
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), v.cast("double").alias("value")) for i, v in enumerate(chosen.values())])
+    return df.select(F.inline(cells)).where(F.col("value").isNotNull() & ~F.isnan("value")), list(chosen)
 
 
 def exact_quantiles(
@@ -58,149 +63,152 @@ def exact_quantiles(
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row, with one array column per input column (null if it is empty)."""
-    numbers, names = _numbers(df, columns)
-    found = _narrow(numbers, names, probabilities, bracket_values, accuracy)
-    return numbers.sparkSession.range(1).select(
+    cells, names = number_cells(df, columns)
+    found, _ = quantiles_of(cells, len(names), probabilities, bracket_values, accuracy)
+    return df.sparkSession.range(1).select(
         *[
-            (F.array(*[F.lit(v) for v in found[n]]) if found[n] else F.lit(None).cast("array<double>")).alias(n)
-            for n in names
+            (F.array(*[F.lit(v) for v in found[i]]) if i in found else F.lit(None).cast("array<double>")).alias(n)
+            for i, n in enumerate(names)
         ]
     )
 
 
-def _cells(numbers: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(c, value) rows of all columns: position of the column, number."""
-    arrays = F.array(*[F.struct(F.lit(i).alias("c"), cell(n).alias("value")) for i, n in enumerate(names)])
-    return numbers.select(F.inline(arrays)).where(F.col("value").isNotNull())
-
-
-def _between(low: float, high: float, share: float) -> float:
-    # Not low + (high - low) * 0, which has no value between infinities.
-    return low if share == 0 or low == high else low + (high - low) * share
-
-
-def _narrow(numbers, names, probabilities, bracket_values, accuracy) -> dict[str, list[float] | None]:
-    cells = _cells(numbers, names)
-    measured = cells.groupBy("c").agg(
+def quantiles_of(
+    cells: DataFrame,
+    size: int,
+    probabilities: Sequence[float],
+    bracket_values: int = BRACKET_VALUES,
+    accuracy: int = ACCURACY,
+    measures: Mapping[str, Column] | None = None,
+) -> tuple[dict[int, list[float]], dict[int, dict[str, object]]]:
+    """Position of each column that holds a number -> its quantiles, and -> its measures.
+
+    `cells` has rows (c, value). The measures are aggregates of `value`, taken along
+    in the first scan.
+    """
+    if not size:
+        return {}, {}
+    slack = 2.0 / accuracy
+    guesses = [g for p in probabilities for g in (max(0.0, p - slack), min(1.0, p + slack))]
+    first = cells.groupBy("c").agg(
         F.count("*").alias("n"),
         F.min("value").alias("low"),
         F.max("value").alias("high"),
         F.approx_count_distinct("value").alias("distinct"),
+        F.percentile_approx("value", guesses or [0.5], accuracy).alias("guesses"),
+        *[made.alias(f"m_{name}") for name, made in (measures or {}).items()],
     )
-    base = {names[r["c"]]: r for r in measured.toLocalIterator()}
-    brackets: dict[tuple[str, int], Bracket] = {}
-    for name, r in base.items():
-        for p in probabilities:
-            place = p * (r["n"] - 1)
-            for rank in {math.floor(place), math.ceil(place)}:
-                few = r["distinct"] <= bracket_values
-                brackets[name, rank] = Bracket(name, rank, r["low"], r["high"], 0, r["n"], few)
-    while waiting := [b for b in brackets.values() if not b.done()]:
-        for chunk in in_chunks(waiting, BRACKETS_AT_ONCE):
-            _shrink(numbers, chunk, bracket_values, accuracy)
-    values = _values_at(cells, names, list(brackets.values()))
-    out: dict[str, list[float] | None] = {}
-    for name in names:
-        if name not in base:
-            out[name] = None
-            continue
-        out[name] = []
-        for p in probabilities:
-            place = p * (base[name]["n"] - 1)
-            low, high = math.floor(place), math.ceil(place)
-            out[name].append(_between(values[name, low], values[name, high], place - low))
+    # One row per column.
+    wanted: dict[int, Wanted] = {}
+    measured: dict[int, dict[str, object]] = {}
+    for r in first.collect():
+        measured[r["c"]] = {name: r[f"m_{name}"] for name in measures or {}}
+        w = wanted[r["c"]] = Wanted(r["n"], r["low"], r["high"], r["distinct"])
+        if min(w.n, w.distinct) <= bracket_values:
+            w.spans = [w.whole()] * len(probabilities)
+        else:
+            g = r["guesses"]
+            w.spans = [(g[2 * j], g[2 * j + 1], 2 * slack * w.n) for j in range(len(probabilities))]
+    for _ in range(MOST_GRIDS):
+        wide = {c for c, w in wanted.items() if any(s[2] > bracket_values and s[0] < s[1] for s in w.spans)}
+        if not wide or not _narrow(cells, {c: wanted[c] for c in wide}, probabilities, accuracy):
+            break
+    out = _read(cells, wanted, probabilities)
+    missed = {c: w for c, w in wanted.items() if c not in out}
+    if missed:
+        for w in missed.values():
+            w.spans = [w.whole()] * len(probabilities)
+        out |= _read(cells, missed, probabilities)
+    return out, measured
+
+
+def _beside(cells: DataFrame, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Each cell with its column's bounds: one small row per column, broadcast."""
+    schema = ", ".join(f"{n} {'int' if n == 'c' else 'double'}" for n in names)
+    return cells.join(F.broadcast(cells.sparkSession.createDataFrame(rows, schema)), "c")
+
+
+def _narrow(cells: DataFrame, wanted: dict[int, Wanted], probabilities: Sequence[float], accuracy: int) -> bool:
+    """Shrink the brackets of some columns in one scan; whether any got smaller."""
+    k = len(probabilities)
+    names = ["c", *[f"{side}{j}" for j in range(k) for side in ("lo", "hi")]]
+    rows = [(c, *[float(x) for s in w.spans for x in s[:2]]) for c, w in wanted.items()]
+    steps = [i / GRID for i in range(GRID + 1)]
+    inside = [F.col("value").between(F.col(f"lo{j}"), F.col(f"hi{j}")) for j in range(k)]
+    found = _beside(cells, rows, names).groupBy("c").agg(
+        *[F.count_if(F.col("value") < F.col(f"lo{j}")).alias(f"below{j}") for j in range(k)],
+        *[F.count_if(inside[j]).alias(f"in{j}") for j in range(k)],
+        *[F.percentile_approx(F.when(inside[j], F.col("value")), steps, accuracy).alias(f"grid{j}") for j in range(k)],
+    )
+    moved = False
+    for r in found.collect():
+        w = wanted[r["c"]]
+        for j, (low_rank, high_rank, _) in enumerate(w.ranks(probabilities)):
+            below, n, grid = r[f"below{j}"], r[f"in{j}"], r[f"grid{j}"]
+            if not below <= low_rank <= high_rank < below + n:
+                w.spans[j] = w.whole()
+                continue
+            slack = 2.0 / accuracy + 1.0 / n
+            at = math.floor(((low_rank - below) / n - slack) * GRID)
+            to = math.ceil(((high_rank - below + 1) / n + slack) * GRID)
+            low = grid[at] if at > 0 else w.spans[j][0]
+            high = grid[to] if to < GRID else w.spans[j][1]
+            about = n * (min(to, GRID) - max(at, 0)) / GRID
+            moved |= low > w.spans[j][0] or high < w.spans[j][1]
+            w.spans[j] = (low, high, about)
+    return moved
+
+
+def _apart(spans: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
+    """The spans in order, overlapping ones joined."""
+    out: list[tuple[float, float]] = []
+    for low, high, _ in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
     return out
 
 
-def _within(b: Bracket) -> Column:
-    return cell(b.column).between(b.low, b.high)
-
-
-def _shrink(numbers: DataFrame, brackets: list[Bracket], bracket_values: int, accuracy: int) -> None:
-    """Tighten each bracket: guess by approximate quantiles, then count exactly."""
-    slack = 2.0 / accuracy
-    guesses = numbers.agg(
-        *[
-            F.percentile_approx(
-                F.when(_within(b), cell(b.column)),
-                [
-                    max(0.0, (b.rank - b.below) / b.inside - slack),
-                    min(1.0, (b.rank - b.below + 1) / b.inside + slack),
-                ],
-                accuracy,
-            ).alias(str(i))
-            for i, b in enumerate(brackets)
-        ]
-    ).first()
-    tight = [(b, guesses[str(i)][0], guesses[str(i)][1]) for i, b in enumerate(brackets)]
-    counts = numbers.agg(
-        *[F.count_if(cell(b.column) < lo).alias(f"b_{i}") for i, (b, lo, _) in enumerate(tight)],
-        *[F.count_if(cell(b.column).between(lo, hi)).alias(f"n_{i}") for i, (b, lo, hi) in enumerate(tight)],
-        *[
-            F.approx_count_distinct(F.when(cell(b.column).between(lo, hi), cell(b.column))).alias(f"d_{i}")
-            for i, (b, lo, hi) in enumerate(tight)
-        ],
-    ).first()
-    for i, (b, lo, hi) in enumerate(tight):
-        below, inside = counts[f"b_{i}"], counts[f"n_{i}"]
-        holds = below <= b.rank < below + inside
-        if holds and inside < b.inside:
-            b.low, b.high, b.below, b.inside = lo, hi, below, inside
-            b.few = counts[f"d_{i}"] <= bracket_values
-        else:
-            # No progress by guessing: split the bracket at its middle value.
-            _halve(numbers, b, bracket_values)
-
-
-def _halve(numbers: DataFrame, b: Bracket, bracket_values: int) -> None:
-    # Infinite ends have no middle.
-    middle = max(b.low, -LARGEST) / 2 + min(b.high, LARGEST) / 2
-    value = cell(b.column)
-    row = numbers.where(_within(b)).agg(
-        F.count_if(value <= middle).alias("left"),
-        F.max(F.when(value <= middle, value)).alias("left_max"),
-        F.min(F.when(value > middle, value)).alias("right_min"),
-        F.approx_count_distinct(F.when(value <= middle, value)).alias("left_d"),
-        F.approx_count_distinct(F.when(value > middle, value)).alias("right_d"),
-    ).first()
-    if b.rank < b.below + row["left"]:
-        b.high, b.inside, b.few = row["left_max"], row["left"], row["left_d"] <= bracket_values
-    else:
-        b.low, b.below, b.inside = row["right_min"], b.below + row["left"], b.inside - row["left"]
-        b.few = row["right_d"] <= bracket_values
-
-
-def _values_at(cells: DataFrame, names: Sequence[str], brackets: list[Bracket]) -> dict[tuple[str, int], float]:
-    """The value at each rank, in one job over the distinct values of all brackets."""
-    values = {(b.column, b.rank): b.low for b in brackets if b.low == b.high}
-    open_ones = [b for b in brackets if b.low != b.high]
-    if not open_ones:
-        return values
-    at = {n: i for i, n in enumerate(names)}
-    spans = sorted({(at[b.column], b.low, b.high) for b in open_ones})
-    span_of = {span: k for k, span in enumerate(spans)}
-    spark = cells.sparkSession
-    within = spark.createDataFrame(
-        [(k, c, low, high) for (c, low, high), k in span_of.items()], "span int, of int, low double, high double"
-    )
-    wanted = spark.createDataFrame(
-        [(span_of[at[b.column], b.low, b.high], b.column, b.rank, b.rank - b.below) for b in open_ones],
-        "span int, column string, rank long, place long",
-    )
-    counts = (
-        cells.join(
-            # A row per bracket: two for each column and probability.
-            F.broadcast(within),
-            (F.col("c") == F.col("of")) & F.col("value").between(F.col("low"), F.col("high")),
-        )
-        .groupBy("span", "value")
+def _read(cells: DataFrame, wanted: dict[int, Wanted], probabilities: Sequence[float]) -> dict[int, list[float]]:
+    """Values at the ranks, in one scan; columns with a rank outside its bracket are left out."""
+    if not wanted:
+        return {}
+    spans = {c: _apart(w.spans) for c, w in wanted.items()}
+    most = max(map(len, spans.values()))
+    nothing = (float("nan"), float("nan"))
+    rows = [(c, *[float(x) for s in [*ss, *[nothing] * (most - len(ss))] for x in s]) for c, ss in spans.items()]
+    names = ["c", *[f"{side}{j}" for j in range(most) for side in ("lo", "hi")]]
+    # Every cell falls below, into or between spans: 2j is below the j-th, 2j + 1 in it. NaN is above all numbers.
+    part, value = F.lit(2 * most), F.lit(None).cast("double")
+    for j in reversed(range(most)):
+        low, high = F.col(f"lo{j}"), F.col(f"hi{j}")
+        part = F.when(F.col("value") < low, 2 * j).when(F.col("value") <= high, 2 * j + 1).otherwise(part)
+        value = F.when((F.col("value") >= low) & (F.col("value") <= high), F.col("value")).otherwise(value)
+    counted = (
+        _beside(cells, rows, names)
+        .select("c", part.alias("part"), value.alias("value"))
+        .groupBy("c", "part", "value")
         .agg(F.count("*").alias("n"))
     )
-    upto = F.sum("n").over(W.partitionBy("span").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    upto = F.sum("n").over(W.partitionBy("c").orderBy("part", "value").rowsBetween(W.unboundedPreceding, 0))
+    ranks = [(c, k) for c, w in wanted.items() for low, high, _ in w.ranks(probabilities) for k in {low, high}]
+    asked = cells.sparkSession.createDataFrame(sorted(set(ranks)), "c int, rank long")
     hits = (
-        counts.withColumn("upto", upto)
-        .join(F.broadcast(wanted), "span")
-        .where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place")))
-        .select("column", "rank", "value")
+        counted.withColumn("upto", upto)
+        .join(F.broadcast(asked), "c")
+        .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")) & F.col("value").isNotNull())
+        .select("c", "rank", "value")
     )
-    return values | {(r["column"], r["rank"]): r["value"] for r in hits.toLocalIterator()}
+    values = {(r["c"], r["rank"]): r["value"] for r in hits.collect()}
+    out = {}
+    for c, w in wanted.items():
+        places = w.ranks(probabilities)
+        if all((c, k) in values for low, high, _ in places for k in (low, high)):
+            out[c] = [_between(values[c, low], values[c, high], share) for low, high, share in places]
+    return out
+
+
+def _between(low: float, high: float, share: float) -> float:
+    # Not low + (high - low) * 0, which has no value between infinities.
+    return low if share == 0 or low == high else low + (high - low) * share

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from facetframe.operators import cleaning
+from facetframe.operators import cleaning, profile
 from facetframe.operators.normality import normal_quantile, normal_upper_tail, normality
 from facetframe.operators.ordering import numbered, running_total
 from facetframe.operators.quantiles import exact_quantiles
@@ -238,3 +238,60 @@ def test_correlations_scan_once(spark):
     want.loc["same", :] = want.loc[:, "same"] = 0.0
     assert float((got - want).abs().to_numpy().max()) < 1e-8
     assert {r["r"] for r in correlations(df.limit(0), ["c0", "same"]).collect()} == {0.0}
+
+
+def _jobs(spark, run) -> int:
+    """Jobs that a call costs."""
+    listener = spark.sparkContext.statusTracker()
+    group = f"scans-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    jobs = listener.getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(jobs)
+
+
+def test_jobs_do_not_grow_with_columns(spark, tmp_path):
+    """Types, profiles and quantiles of 200 columns take as many jobs as those of eight."""
+    made = {}
+    for width in (8, 200):
+        texts = [F.concat(F.lit(f"t{i} "), (F.col("id") % (i + 2)).cast("string")).alias(f"t{i}") for i in range(width // 2)]
+        numbers = [(F.col("id") * (i + 1) % 97).cast("double").alias(f"n{i}") for i in range(width // 2)]
+        path = f"{tmp_path}/w{width}"
+        spark.range(1500).select("id", *texts, *numbers).write.parquet(path)
+        made[width] = spark.read.parquet(path)
+    runs = {
+        "types": lambda df: profile.detected_types(df, "id").collect(),
+        "ratio": lambda df: profile.ratio_types(df).collect(),
+        "describe": lambda df: profile.describe(df).collect(),
+    }
+    for name, run in runs.items():
+        assert _jobs(spark, lambda: run(made[200])) <= _jobs(spark, lambda: run(made[8])) + 1, name
+
+
+def test_first_cells_of_sparse_columns(spark):
+    """Columns with their first cells far down are typed by those, whatever the order of the rows."""
+    rows = [(i, "2024-01-02" if i >= 5000 else None, f"w{i}" if i % 40 == 0 else None, str(i), None) for i in range(6000)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, late string, rare string, every string, none string").repartition(6)
+    got = {r["column"]: r["detected_type"] for r in profile.detected_types(df, "k").collect()}
+    assert got["k"] == got["every"] == "numeric" and got["late"] == "datetime" and got["none"] == "text"
+    for rules in (profile.PROFILER, profile.REPORT):
+        shares = {r["column"]: (r["date_share"], r["number_share"]) for r in profile._probes(df, ["late", "rare", "every", "none"], "k", rules).collect()}
+        assert shares["late"][0] == 1.0 and shares["every"] == (0.0, 1.0) and "none" not in shares and shares["rare"][0] == 0.0
+
+
+@pytest.mark.parametrize("accuracy", [30, 10_000])
+def test_quantiles_of_many_columns_and_ranks(spark, accuracy):
+    r = random.Random(accuracy)
+    columns = {"a": [r.gauss(0, 1) for _ in range(3000)], "b": [float(r.randrange(4)) for _ in range(3000)], "c": [None] * 2990 + [1.0] * 10}
+    columns["d"] = [r.choice((float("nan"), None, 1e300, -1e300, 0.5)) for _ in range(3000)]
+    df = spark.createDataFrame(list(zip(*columns.values())), "a double, b double, c double, d double").repartition(5)
+    probabilities = [0.0, 0.01, 0.25, 0.5, 0.51, 0.75, 0.9, 1.0]
+    row = exact_quantiles(df, list(columns), probabilities, bracket_values=50, accuracy=accuracy).first()
+    for name, values in columns.items():
+        clean = sorted(v for v in values if v is not None and v == v)
+        for p, got in zip(probabilities, row[name]):
+            place = p * (len(clean) - 1)
+            low, high = clean[int(np.floor(place))], clean[int(np.ceil(place))]
+            assert got == pytest.approx(low + (high - low) * (place - np.floor(place)), rel=1e-12)
