@@ -1,17 +1,19 @@
-"""Queries along time and over groups: as-of joins, spans, sliding frames, grouping sets."""
+"""Queries along time and over groups, sketches, samples and plans of questions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from facetframe.operators import profile
 from facetframe.operators.intervals import overlap_join, points_in_spans
 from facetframe.operators.lattice import cube_sets, grouping_sets, rollup_sets
 from facetframe.operators.samples import stratified
 from facetframe.operators.sketches import daily_sketches, estimates, merged
 from facetframe.operators.timeline import asof_join, sliding
+from facetframe.plans.question_plan import question_plans
 from facetframe.session import scratch_path
 from facetframe.streaming import events
-from workload.base import query, table
+from workload.base import ASKED_SQL, asked, query, table
 from workload.mining import SESSION_SQL
 
 HOUR = 3_600_000_000
@@ -233,3 +235,53 @@ def _(spark, folder):
 def _(spark, folder):
     rows = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
     return stratified(rows, ["lang"], "doc_id", 40, weight="n_chars", seed="s2")
+
+
+def _plan_sql() -> str:
+    """Plans of the asked messages over the columns of orders, whose roles are the same at every scale."""
+    columns = (
+        ("o_orderkey", "measure", True),
+        ("o_custkey", "dimension", True),
+        ("o_orderstatus", "dimension", False),
+        ("o_totalprice", "measure", True),
+        ("o_orderdate", "time", False),
+        ("o_orderpriority", "dimension", False),
+    )
+    listed = " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS name, '{role}' AS role, {str(number).lower()} AS number, "
+        f"count(DISTINCT {c}) AS uniques, count(*) AS n FROM orders"
+        for i, (c, role, number) in enumerate(columns)
+    )
+    named = "contains(key, name)"
+    said = "contains(form, replace(name, '_', ' '))"
+    return f"""
+WITH {ASKED_SQL}, cat AS MATERIALIZED ({listed}),
+texts AS (SELECT conv_id, turn, lower(question) AS low,
+                 trim(regexp_replace(lower(question), '[^a-z0-9]+', '_', 'g'), '_') AS key,
+                 trim(regexp_replace(regexp_replace(regexp_replace(lower(question), '[_-]+', ' ', 'g'), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS form
+          FROM asked),
+met AS (
+  SELECT t.*, position, name,
+         CASE WHEN role = 'measure' THEN CASE WHEN {named} THEN 0 ELSE 1 END END AS r1,
+         CASE WHEN role = 'dimension' THEN CASE WHEN {named} THEN 0 ELSE 2 END
+              WHEN role = 'time' THEN CASE WHEN {named} THEN 1 ELSE 3 END END AS r2,
+         CASE WHEN regexp_matches(name, '(year|date|month|day|time)') THEN CASE WHEN {said} THEN 0 ELSE 1 END END AS r3,
+         CASE WHEN {said} THEN 0
+              WHEN regexp_matches(form, '\\b(country|type|rating)\\b') THEN CASE WHEN NOT number AND NOT regexp_matches(name, '(id|index)') THEN 2 END
+              WHEN NOT number AND uniques <= greatest(12, ceil(n * 0.5)) THEN 3 + uniques END AS r4
+  FROM texts t CROSS JOIN cat)
+SELECT conv_id, turn,
+       CASE WHEN regexp_matches(any_value(low), '\\b(avg|average|mean)\\b') THEN 'average'
+            WHEN regexp_matches(any_value(low), '\\b(min|lowest|smallest|least)\\b') THEN 'min'
+            WHEN regexp_matches(any_value(low), '\\b(max|highest|largest|top|most)\\b') THEN 'max'
+            WHEN regexp_matches(any_value(low), '\\b(sum|total|revenue|sales|amount)\\b') THEN 'sum' ELSE 'count' END AS metric,
+       arg_min(name, r1 * 1000 + position) AS measure, arg_min(name, r2 * 1000 + position) AS dimension,
+       arg_min(name, r3 * 1000 + position) AS "time", arg_min(name, r4 * 1000 + position) AS grouped_by
+FROM met GROUP BY conv_id, turn
+"""
+
+
+@query("m12_question_plan", _plan_sql())
+def _(spark, folder):
+    catalog = profile.with_roles(profile.ratio_types(table(spark, folder, "orders")))
+    return question_plans(asked(spark, folder), "question", catalog, ["conv_id", "turn"])
