@@ -10,9 +10,12 @@ at once. Then, level by level from the root:
    parent (two-proportion z test) are merged into the wildcard branch too, if
    both have labels enough to tell.
 
-A url's template is the path of its branches. Templates are rejected when the
-share of bad labels, smoothed towards the rate of their host and that towards
-the overall rate, reaches a bound and the labels are enough.
+A url's template is the path of its branches. Its share of bad labels is smoothed
+towards the share of the same template under other hosts, that towards the share of
+its host, that towards its parent domain's and that towards the overall share, so a
+template without labels of its own is judged by what it borrows. A template that
+differs between parent domains (z test of each against the others) borrows from its
+own domain only. Templates whose smoothed share reaches a bound are rejected.
 
 All statistics are group-bys with partial aggregation over (host, branch), joined
 back by key; rows of a hot host are combined before the shuffle and no window or
@@ -31,7 +34,7 @@ from facetframe.session import checkpointed
 DEPTH = 4
 #: Least share of its parent's urls for a literal branch.
 LEAST_SHARE = 0.02
-#: Labels needed on both sides before two branches are told apart.
+#: Labels needed on both sides before two branches of the tree are merged as alike.
 LEAST_LABELS = 10
 #: z value from which branches differ.
 DIFFERENT = 2.58
@@ -128,23 +131,55 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
         parent = [*parent, name]
     path = F.concat(F.lit("/"), F.array_join(F.array_remove(F.array(*names), ""), "/"))
     tree = tree.withColumn("template", path)
-    per_template = tree.groupBy("host", "template").agg(*sums)
-    per_host = per_template.groupBy("host").agg(*[F.sum(c).alias(f"host_{c}") for c in ("bad", "labels")])
-    overall = per_host.agg(
-        F.coalesce(F.try_divide(F.sum("host_bad"), F.sum("host_labels")), F.lit(0.0)).alias("base")
+    per_template = checkpointed(tree.groupBy("host", "template").agg(*sums).withColumn("domain", parent_domain(F.col("host"))))
+    rated = rates(per_template)
+    raw = [f"raw{i}" for i in range(depth)]
+    return tree.select("host", *raw, "template").join(rated, ["host", "template"])
+
+
+def parent_domain(host: Column) -> Column:
+    """The last two labels of a host."""
+    return F.substring_index(host, ".", -2)
+
+
+def _smoothed(bad: Column, labels: Column, towards: Column) -> Column:
+    return (bad + PRIOR * towards) / (labels + PRIOR)
+
+
+def rates(per_template: DataFrame) -> DataFrame:
+    """(host, template, counts, borrowed_labels, purity) from counts per host, domain and template."""
+
+    def summed(name: str, *by: str) -> DataFrame:
+        return per_template.groupBy(*by).agg(F.sum("bad").alias(f"{name}_bad"), F.sum("labels").alias(f"{name}_labels"))
+
+    overall = summed("any").select(F.coalesce(F.try_divide("any_bad", "any_labels"), F.lit(0.0)).alias("base"))
+    # The same template in each parent domain, held against all others.
+    in_domain = summed("near", "template", "domain")
+    anywhere = in_domain.groupBy("template").agg(F.sum("near_bad").alias("same_bad"), F.sum("near_labels").alias("same_labels"))
+    rest, rest_bad = F.col("same_labels") - F.col("near_labels"), F.col("same_bad") - F.col("near_bad")
+    pooled = F.try_divide("same_bad", "same_labels")
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("near_labels")) + F.try_divide(F.lit(1), rest)))
+    z = F.try_divide(F.abs(F.try_divide("near_bad", "near_labels") - F.try_divide(rest_bad, rest)), spread)
+    differs = in_domain.join(anywhere, "template").groupBy("template").agg(F.coalesce(F.max(z) >= DIFFERENT, F.lit(False)).alias("differs"))
+    joined = (
+        per_template.join(summed("host", "host"), "host")
+        .join(summed("domain", "domain"), "domain")
+        .join(anywhere.join(differs, "template"), "template")
+        .join(in_domain, ["template", "domain"])
+        # One row with the overall share goes beside every template.
+        .join(F.broadcast(overall))
     )
-    base = F.col("base")
-    host_rate = (F.col("host_bad") + PRIOR * base) / (F.col("host_labels") + PRIOR)
-    # One row with the overall rate goes beside every host.
-    rated = per_template.join(per_host, "host").join(F.broadcast(overall)).select(
+    from_host = _smoothed(F.col("host_bad"), F.col("host_labels"), _smoothed(F.col("domain_bad"), F.col("domain_labels"), F.col("base")))
+    lent = lambda c: F.when(F.col("differs"), F.col(f"near_{c}")).otherwise(F.col(f"same_{c}")) - F.col(c)
+    purity = _smoothed(F.col("bad"), F.col("labels"), _smoothed(lent("bad"), lent("labels"), from_host))
+    return joined.select(
         "host",
         "template",
         F.col("n").alias("template_urls"),
         F.col("labels").alias("template_labels"),
-        ((F.col("bad") + PRIOR * host_rate) / (F.col("labels") + PRIOR)).alias("purity"),
+        (lent("labels") + F.col("domain_labels")).alias("borrowed_labels"),
+        purity.alias("purity"),
     )
-    raw = [f"raw{i}" for i in range(depth)]
-    return tree.select("host", *raw, "template").join(rated, ["host", "template"])
 
 
 def judged(
@@ -163,7 +198,9 @@ def judged(
     add others, a rule's verdict goes before them and several labels of one key
     count as bad if any is. A null url, or one without ``://``, has empty host and
     path, fits no rule, and is allowed unless labels say otherwise. Repeated urls
-    count each time. With no labels at all everything outside the rules is allowed.
+    count each time; very long paths keep their first levels. A template that neither it,
+    the same template elsewhere nor its domain has a label for is allowed; with no labels
+    at all everything outside the rules is. A share equal to the bound is rejected.
     Other columns, whatever their names, are dropped unless carried.
     """
     keys = [F.col(c).alias(f"k_{c}") for c in dict.fromkeys([*carry, *([label_key] if labels is not None else [])])]
@@ -178,7 +215,8 @@ def judged(
     raw = [f"raw{i}" for i in range(depth)]
     shaped = rows.select("*", *[s.alias(n) for s, n in zip(segments(F.col("path"), depth), raw)])
     found = shaped.join(known, ["host", *raw])
-    reject = (F.col("template_labels") >= LEAST_LABELS) & (F.col("purity") >= REJECT)
+    # Without a label anywhere near, there is nothing to judge by.
+    reject = (F.col("borrowed_labels") > 0) & (F.col("purity") >= REJECT)
     return found.select(
         *[F.col(f"k_{c}").alias(c) for c in carry],
         "host",

@@ -107,3 +107,42 @@ def test_templates_by_labels(spark):
     assert {r["verdict"] for r in got if r["template"] == "/spam/*"} == {"block"}
     assert {r["verdict"] for r in got if r["template"] != "/spam/*"} == {"allow"}
     assert url_templates.judged(df.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_templates_borrow_labels(spark):
+    """The smoothed shares against a plain count over all urls."""
+    rows, bad = [], {}
+    for d, (domain, kinds) in enumerate({"a.org": {"es": 1, "de": 0, "en": 0}, "b.com": {"de": 1, "fr": 0}, "c.net": {}}.items()):
+        for h in range(4):
+            for s, segment in enumerate(("es", "de", "en", "fr")):
+                for i in range(20):
+                    key = len(rows)
+                    rows.append((key, f"http://h{h}.{domain}/{segment}/{i}"))
+                    if segment in kinds and h < 3:
+                        bad[key] = kinds[segment]
+    rows += [(9000, None), (9001, "http://lone.xyz/q"), (9002, "http://lone.xyz/" + "long/" * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame(list(bad.items()), "page_id long, bad int")
+    got = {r["page_id"]: r for r in url_templates.judged(df, (), labels=labels).collect()}
+    assert len(got) == len(rows)
+
+    def share(domain=None, host=None, segment=None):
+        some = [b for k, b in bad.items() for u in [rows[k][1]] if (domain or "") in u and (host or "") in u and (f"/{segment}/" if segment else "") in u]
+        return sum(some), len(some)
+
+    smooth = lambda counts, towards: (counts[0] + 8 * towards) / (counts[1] + 8)
+    base = share()[0] / share()[1]
+    for key, url in rows[: len(rows) - 3]:
+        host, segment = url.split("/")[2], url.split("/")[3]
+        domain = host[3:]
+        own = share(host=host, segment=segment)
+        # Only "de" differs between domains.
+        lent = share(domain=domain, segment=segment) if segment == "de" else share(segment=segment)
+        lent = (lent[0] - own[0], lent[1] - own[1])
+        wanted = smooth(own, smooth(lent, smooth(share(host=host), smooth(share(domain=domain), base))))
+        assert abs(got[key]["purity"] - wanted) < 1e-9 and got[key]["template"] == f"/{segment}/*"
+        assert got[key]["verdict"] == ("block" if wanted >= url_templates.REJECT else "allow")
+    verdicts = {(u.split("/")[2], u.split("/")[3]): got[k]["verdict"] for k, u in rows[: len(rows) - 3]}
+    assert verdicts["h3.a.org", "es"] == verdicts["h0.c.net", "es"] == verdicts["h3.b.com", "de"] == "block"
+    assert verdicts["h0.c.net", "de"] == verdicts["h3.a.org", "de"] == verdicts["h0.c.net", "fr"] == "allow"
+    assert {got[k]["verdict"] for k in (9000, 9001, 9002)} == {"allow"}
