@@ -6,8 +6,12 @@ than not the feature stands inside the main text, learned from labelled pages:
 those with exactly one ``article`` (or else one ``main``) element, whose inside is
 the label. Rare features lean on the prior: words count for the text, tags against
 it. One linear scan finds the run of tokens with the greatest sum. Elements that are
-boilerplate by name, or whose class, id or role says menu, advert, notice and so
-on, weigh nothing and are left out of the text.
+boilerplate by name or exact role, hidden, or by a class or id that says so outright
+(advert, comments, share and so on: an advert inside an article is still an advert)
+weigh nothing and are left out of the text. A class or id that may also name a part of
+an article (alert, widget and so on) is a feature: its weight is how often the words
+under it stand inside the main text of labelled pages, and the element is left out only
+if that weight is negative. Names that merely contain such a word say nothing.
 
 Counting and extraction are one pass each over the pages, with no shuffle but the
 sum of the counts per feature; there are at most a few hundred features, since
@@ -51,12 +55,17 @@ _SAME = {
 }
 _SCOPE = frozenset("article section div main nav aside footer header form table td th ul ol dl blockquote body html".split())
 
-_CUE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|"
-    r"disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|overlay|pagination|paywall|popup|"
-    r"promo|promoted|recommended|related|replies|respond|share|sharing|sidebar|signup|site-header|page-header|social|sponsor|"
-    r"sponsored|subscribe|toolbar|widget|alert|disclaimer)(?:$|[\s_-])"
+# Words of class names and ids that speak against the main text, and those that may name a part of it.
+_FOREIGN = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
+    "copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup "
+    "promo promoted recommended related replies share sharing sidebar signup social sponsor sponsored subscribe".split()
 )
+_UNSURE = frozenset("alert banner disclaimer overlay respond toolbar widget".split())
+# What may stand beside a cue in one name: ``ad-box-1`` is a cue, ``related-work`` and ``notice-board`` are not.
+_FILLERS = frozenset("area bar block bottom box buttons container form header left link links list page panel right section site top wrapper".split())
+PRIOR_UNSURE = 0.6
+
 _ROLES = frozenset("navigation banner complementary contentinfo search form alert dialog menu menubar alertdialog".split())
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _TOKEN = re.compile(
@@ -65,32 +74,47 @@ _TOKEN = re.compile(
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role name an element boilerplate, or it is hidden."""
+def _marked(attributes: str) -> tuple[bool, str | None]:
+    """(whether role, hiding, class or id make an element boilerplate, the first unsure cue of class and id)."""
+    cue = None
     if not attributes or attributes.isspace():
-        return False
+        return False, cue
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "role" and value.lower() in _ROLES:
-            return True
-        if name in ("class", "id") and _CUE.search(_CAMEL.sub(r"\1-\2", value).lower()):
-            return True
+            return True, cue
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-    return False
+            return True, cue
+        if name in ("class", "id"):
+            for found in filter(None, map(_cue, html.unescape(value).split())):
+                if found in _FOREIGN:
+                    return True, None
+                cue = cue or found
+    return False, cue
+
+
+def _cue(name: str) -> str | None:
+    """The cue that a class name or id is, with nothing but fillers and numbers beside it."""
+    parts = [p for p in re.split(r"[_-]+", _CAMEL.sub(r"\1-\2", name).lower()) if p and not p.isdigit()]
+    cues = [p for p in parts if p in _FOREIGN or p in _UNSURE]
+    if not cues or any(p not in _FILLERS and p not in cues for p in parts):
+        return None
+    return next((c for c in cues if c in _FOREIGN), cues[0])
 
 
 class Page:
-    """Tokens of a page: feature, words, depth in boilerplate, text, and where blocks end."""
+    """Tokens of a page: feature, words, whether in boilerplate, cues above it, text, and where blocks end."""
 
     def __init__(self, source: str):
         self.features: list[str] = []
         self.sizes: list[int] = []
         self.texts: list[str | None] = []
         self.left_out: list[bool] = []
+        self.cues: list[tuple[str, ...]] = []
         self.breaks: list[bool] = []
         self.spans: dict[str, list[list[int]]] = {"article": [], "main": []}
-        self.stack: list[tuple[str, bool, bool]] = []
+        self.stack: list[tuple[str, bool, bool, str | None]] = []
+        self.open_cues: tuple[str, ...] = ()
         self.out_depth = self.never_depth = 0
         at = 0
         while at < len(source):
@@ -116,26 +140,34 @@ class Page:
                 if span[1] < 0:
                     span[1] = len(self.features)
 
-    def _token(self, feature: str, size: int, text: str | None, breaks: bool, leads_out: bool = False) -> None:
+    def _token(self, feature: str, size: int, text: str | None, breaks: bool, leads_out: bool = False, cue: str | None = None) -> None:
         self.features.append(feature)
         self.sizes.append(size)
         self.texts.append(text)
         self.left_out.append(self.out_depth > 0 or leads_out)
+        self.cues.append(self.open_cues if cue is None else self._with(cue))
         self.breaks.append(breaks)
 
+    def _with(self, cue: str) -> tuple[str, ...]:
+        """Distinct cues open here and one more, as features; there are no more than the vocabulary holds."""
+        feature = f"c {cue}"
+        return self.open_cues if feature in self.open_cues else (*self.open_cues, feature)
+
     def _words(self, run: str) -> None:
         if not run or self.never_depth:
             return
         text = html.unescape(run) if "&" in run else run
         size = len(text.split())
         if size:
-            inner = next((n for n, _, _ in reversed(self.stack)), "none")
+            inner = next((entry[0] for entry in reversed(self.stack)), "none")
             self._token(f"w {inner if inner in _KNOWN else 'other'}", size, text, False)
         elif text:
             self._token("space", 0, " ", False)
 
     def _pop(self) -> None:
-        name, out, never = self.stack.pop()
+        name, out, never, outer = self.stack.pop()
+        if outer is not None:
+            self.open_cues = outer
         self.out_depth -= out
         self.never_depth -= never
         if name in self.spans and not self.never_depth:
@@ -148,23 +180,27 @@ class Page:
         if name in _ENDS_P or name in _SAME:
             while self.stack and (
                 self.stack[-1][0] in _SAME.get(name, ()) or (name in _ENDS_P and self.stack[-1][0] == "p")
-                or (name in _ENDS_P and self.stack[-1][0] in _INLINE and any(n == "p" for n, _, _ in self._near()))
+                or (name in _ENDS_P and self.stack[-1][0] in _INLINE and any(entry[0] == "p" for entry in self._near()))
             ):
                 self._pop()
-        marked = _marked(attributes)
-        page_header = name == "header" and not any(n in ("article", "main") for n, _, _ in self.stack)
-        out = marked and name not in ("html", "body", "article", "main") or name in _BOILERPLATE or page_header
+        marked, cue = _marked(attributes)
+        whole = name in ("html", "body", "article", "main")
+        cue = None if whole else cue
+        page_header = name == "header" and not any(entry[0] in ("article", "main") for entry in self.stack)
+        out = marked and not whole or name in _BOILERPLATE or page_header
         never = name in _NEVER
         if not (self.never_depth or never):
-            self._token(f"< {name if name in _KNOWN else 'other'}", 1, " " if name == "br" else None, name in _BLOCKS, out)
-        if name in self.spans and not self.never_depth and not self.out_depth:
+            self._token(f"< {name if name in _KNOWN else 'other'}", 1, " " if name == "br" else None, name in _BLOCKS, out, cue)
+        if name in self.spans and not self.never_depth and not self.out_depth and not self.open_cues:
             self.spans[name].append([len(self.features), -1])
         if name not in _VOID and not attributes.rstrip().endswith("/") or name in _BLOCKS - _VOID:
-            self.stack.append((name, out, never))
+            self.stack.append((name, out, never, self.open_cues if cue else None))
+            if cue:
+                self.open_cues = self._with(cue)
             self.out_depth += out
             self.never_depth += never
 
-    def _near(self) -> list[tuple[str, bool, bool]]:
+    def _near(self) -> list[tuple[str, bool, bool, tuple[str, ...] | None]]:
         """Open elements from the innermost out to the first that bounds a paragraph."""
         out = []
         for entry in reversed(self.stack):
@@ -193,11 +229,17 @@ class Page:
                 return (low, high) if high > low else None
         return None
 
+    def skipped(self, weights: dict[str, float]) -> list[bool]:
+        """Whether each token stands in boilerplate or under a cue of negative weight."""
+        against = {c: any(weight_of(f, weights) < 0 for f in c) for c in set(self.cues)}
+        return [out or against[c] for out, c in zip(self.left_out, self.cues)]
+
     def region(self, weights: dict[str, float]) -> tuple[int, int]:
         """The first shortest run of tokens with the greatest positive sum; empty if none is positive."""
         best, best_span, total, start = 0.0, (0, 0), 0.0, 0
+        skipped = self.skipped(weights)
         for i, (feature, size) in enumerate(zip(self.features, self.sizes)):
-            if self.left_out[i]:
+            if skipped[i]:
                 continue
             if total <= 0:
                 total, start = 0.0, i
@@ -206,28 +248,35 @@ class Page:
                 best, best_span = total, (start, i + 1)
         return best_span
 
-    def text(self, low: int, high: int) -> str:
+    def text(self, low: int, high: int, weights: dict[str, float] | None = None) -> str:
         """Blocks of the run, white space collapsed, joined by newlines."""
+        skipped = self.skipped(weights or {})
         blocks: list[str] = []
         held: list[str] = []
         for i in range(low, high):
             if self.breaks[i]:
                 blocks.append("".join(held))
                 held = []
-            if self.texts[i] is not None and not self.left_out[i]:
+            if self.texts[i] is not None and not skipped[i]:
                 held.append(self.texts[i])
         blocks.append("".join(held))
         clean = (" ".join(b.split()) for b in blocks)
         return "\n".join(b for b in clean if b)
 
 
+def _prior(feature: str) -> float:
+    if feature[0] == "c":
+        return PRIOR_UNSURE
+    return PRIOR_WORDS if feature[0] == "w" else PRIOR_TAGS
+
+
 def weight_of(feature: str, weights: dict[str, float]) -> float:
     if feature == "space":
         return 0.0
     found = weights.get(feature)
     if found is not None:
         return found
-    return (PRIOR_WORDS if feature[0] == "w" else PRIOR_TAGS) - 0.5
+    return _prior(feature) - 0.5
 
 
 def learned(pages: DataFrame, source: str = "html") -> dict[str, float]:
@@ -244,9 +293,13 @@ def learned(pages: DataFrame, source: str = "html") -> dict[str, float]:
                 if label is None:
                     continue
                 for i, (feature, size) in enumerate(zip(page.features, page.sizes)):
-                    if not page.left_out[i]:
-                        everywhere[feature] += size
-                        inside[feature] += size * (label[0] <= i < label[1])
+                    if page.left_out[i]:
+                        continue
+                    # Under cues the words speak for the cues, not for the elements they stand in.
+                    for f in page.cues[i] or (feature,):
+                        if f[0] != "c" or feature[0] == "w":
+                            everywhere[f] += size
+                            inside[f] += size * (label[0] <= i < label[1])
         names = sorted(everywhere)
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array([inside[n] for n in names], pa.int64()), pa.array([everywhere[n] for n in names], pa.int64())],
@@ -254,12 +307,11 @@ def learned(pages: DataFrame, source: str = "html") -> dict[str, float]:
         )
 
     counts = pages.select(F.col(source).alias("html")).mapInArrow(count, "feature string, inside long, everywhere long")
-    # Features are names of HTML elements with a mark: a few hundred rows.
+    # Features are names of HTML elements with a mark and the fixed cues: a few hundred rows.
     rows = counts.groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("everywhere").alias("everywhere")).collect()
     weights = {}
     for r in rows:
-        prior = PRIOR_WORDS if r["feature"][0] == "w" else PRIOR_TAGS
-        weights[r["feature"]] = (r["inside"] + PRIOR_COUNT * prior) / (r["everywhere"] + PRIOR_COUNT) - 0.5
+        weights[r["feature"]] = (r["inside"] + PRIOR_COUNT * _prior(r["feature"])) / (r["everywhere"] + PRIOR_COUNT) - 0.5
     return weights
 
 
@@ -269,6 +321,8 @@ def extracted(pages: DataFrame, carry: list[str], source: str = "html", weights:
     Null and empty html, and pages without a positive run, give an empty text. Equal
     runs: the first wins. Broken markup never fails: unclosed elements end with the
     page, stray end tags and cut tags are dropped, other stray characters are text.
+    Very long pages are scanned whole, one at a time. Of the pages only ``carry`` and the
+    html are read, so other columns may have any name; a carried ``text`` is not possible.
     Repeated rows are kept; with no labelled page the priors decide alone.
     """
     found = learned(pages, source) if weights is None else weights
@@ -280,7 +334,7 @@ def extracted(pages: DataFrame, carry: list[str], source: str = "html", weights:
             texts = []
             for value in batch.column(batch.num_columns - 1).to_pylist():
                 page = Page(value or "")
-                texts.append(page.text(*page.region(found)))
+                texts.append(page.text(*page.region(found), found))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(texts, pa.string())],
                 names=[*batch.schema.names[:-1], "text"],

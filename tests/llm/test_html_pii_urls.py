@@ -27,6 +27,32 @@ def test_main_text(spark):
     assert html_region.extracted(pages.limit(0), ["page_id"]).count() == 0
 
 
+INNER = (
+    "<body><div class='ads'><p>a{0}dvert words beside the page</p></div><article><p>first part of it</p>"
+    "<div class='related-work'><p>earlier studies found the same</p></div><p class='notice-board'>the board hangs in the hall</p>"
+    "<p id='alert'>the crew was warned in time</p><table class='widget'><tr><td>cell one</td></tr></table>"
+    "<div class='ad-box-2'><p>buy this now please</p></div><div id='comments'><p>first reader says hello</p></div><p>last part</p></article></body>"
+)
+
+
+def test_cues_are_learned(spark):
+    article = "first part of it\nearlier studies found the same\nthe board hangs in the hall\nthe crew was warned in time\ncell one\nlast part"
+    pages = spark.createDataFrame([(i, INNER.format(i)) for i in range(40)], "page_id long, html string")
+    assert {r["text"] for r in html_region.extracted(pages, ["page_id"]).collect()} == {article}
+    # Pages whose words under a cue stand outside the article speak against an unsure cue.
+    beside = "<p id='alert'>%s</p><article><p>the text itself</p></article>" % ("closed today " * 20)
+    more = pages.unionByName(spark.createDataFrame([(100 + i, beside) for i in range(40)], pages.schema))
+    got = {r["page_id"]: r["text"] for r in html_region.extracted(more, ["page_id"]).collect()}
+    assert got[1] == article.replace("the crew was warned in time\n", "") and got[100] == "the text itself"
+
+
+def test_very_long_page(spark):
+    long = "<article>" + "<p>some words here</p>" * 60_000 + "</article>"
+    deep = "<div class='ad'>" * 3000 + "x y z" + "</div>" * 3000
+    pages = spark.createDataFrame([(1, long + deep)], "page_id long, html string")
+    assert html_region.extracted(pages, ["page_id"]).first()["text"] == "\n".join(["some words here"] * 60_000)
+
+
 def test_region_is_the_best_run():
     page = html_region.Page("<p>a b</p><li>c</li><p>d e f</p>")
     weights = {"w p": 1.0, "w li": -9.0, "< p": -0.1, "> p": -0.1, "< li": -1.0, "> li": -1.0}
