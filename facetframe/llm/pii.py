@@ -117,7 +117,9 @@ def _refill(shape: Column, value: Column) -> Column:
         new = F.when(filled, F.substr(value, state["at"], F.lit(1))).otherwise(c)
         return F.struct(F.concat(state["out"], new).alias("out"), (state["at"] + F.when(filled, 1).otherwise(0)).alias("at"))
 
-    return F.aggregate(F.split(shape, ""), empty, step)["out"]
+    # A value longer than its shape goes on behind it.
+    filled = F.aggregate(F.split(shape, ""), empty, step)
+    return _let(filled, lambda f: F.concat(f["out"], F.substr(value, f["at"])))
 
 
 def _luhn(digits: Column) -> Column:
@@ -135,11 +137,12 @@ def _head(value: Column) -> Column:
     return F.substr(value, F.lit(1), F.length(value) - 1)
 
 
-def _card(value: Column, digest: Column) -> Column:
-    """Same first digit and length; the check digit is right if it was right."""
-    head = F.concat(F.substr(value, F.lit(1), F.lit(1)), _same_shape(F.substr(value, F.lit(2), F.length(value) - 2), digest))
+def _card(value: Column, digest: Column, more: Column) -> Column:
+    """Same first digit and length, save for zeros more; the check digit is right if it was right."""
+    body = F.concat(F.substr(value, F.lit(2), F.length(value) - 2), more)
+    head = F.concat(F.substr(value, F.lit(1), F.lit(1)), _same_shape(body, digest))
     off = F.substr(value, F.length(value), F.lit(1)).cast("int") - _luhn(_head(value))
-    return F.concat(head, F.pmod(_luhn(head) + off, F.lit(10)).cast("string"))
+    return _let(head, lambda h: F.concat(h, F.pmod(_luhn(h) + off, F.lit(10)).cast("string")))
 
 
 def _iban(value: Column, digest: Column) -> Column:
@@ -155,9 +158,11 @@ def _iban(value: Column, digest: Column) -> Column:
     return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
 
 
-def _ip(digest: Column) -> Column:
+def _ip(digest: Column, draw: Column) -> Column:
+    """Another address; a private one of eight groups from the third draw on, when the short ones run out."""
+    groups = F.concat_ws(":", F.concat(F.lit("fd"), F.substr(digest, F.lit(1), F.lit(2))), *[F.substr(digest, F.lit(4 * i + 1), F.lit(4)) for i in range(1, 8)])
     parts = [(_byte(digest, 0) % 223 + 1), _byte(digest, 1), _byte(digest, 2), (_byte(digest, 3) % 254 + 1)]
-    return F.concat_ws(".", *[p.cast("string") for p in parts])
+    return F.when(draw > 1, groups).otherwise(F.concat_ws(".", *[p.cast("string") for p in parts]))
 
 
 def _email(key: str, value: Column, draw: Column) -> Column:
@@ -166,12 +171,12 @@ def _email(key: str, value: Column, draw: Column) -> Column:
     label = F.substring_index(domain, ".", 1)
     rest = F.substr(domain, F.length(label) + 1)
     return F.concat(
-        _same_shape(local, _digest(key, "email", value, draw)), F.lit("@"), _same_shape(label, _digest(key, "domain", domain, F.lit(0))), rest
+        _same_shape(F.concat(local, F.repeat(F.lit("a"), _growth(draw))), _digest(key, "email", value, draw)), F.lit("@"), _same_shape(label, _digest(key, "domain", domain, F.lit(0))), rest
     )
 
 
-def _spoken(kind: Column, digest: Column) -> Column:
-    """A word of syllables of the script; the ending follows the gender."""
+def _spoken(kind: Column, digest: Column, draw: Column) -> Column:
+    """A word of syllables of the script, more of them with every growth; the ending follows the gender."""
     script, gender = F.substring_index(kind, "_", -1), F.substring_index(F.substring_index(kind, "_", 2), "_", -1)
 
     def choose(options) -> Column:
@@ -186,7 +191,7 @@ def _spoken(kind: Column, digest: Column) -> Column:
 
     def spell(letters: Column) -> Column:
         syllables = F.transform(
-            F.sequence(F.lit(1), F.when(kind.startswith("given"), 2).otherwise(3)),
+            F.sequence(F.lit(1), F.when(kind.startswith("given"), 2).otherwise(3) + _growth(draw)),
             lambda i: F.concat(pick(letters["onsets"], i * 2), pick(letters["vowels"], i * 2 + 1)),
         )
         return F.concat(F.array_join(syllables, ""), pick(letters["onsets"], 20), pick(letters["tails"], 21))
@@ -197,23 +202,34 @@ def _spoken(kind: Column, digest: Column) -> Column:
     return _let(letters, spell)
 
 
+def _growth(draw: Column) -> Column:
+    """How much longer than its value a surrogate is: the first two draws keep the shape, then it grows."""
+    return F.greatest(draw - 1, F.lit(0))
+
+
 def surrogate(key: str, kind: Column, value: Column, draw: Column) -> Column:
-    """The canonical surrogate of a canonical value, at its n-th draw."""
+    """The canonical surrogate of a canonical value, at its n-th draw.
+
+    Values that fill the space of a shape meet over and over, so later draws take a
+    longer shape, and every draw makes the space at least ten times larger.
+    """
     first = F.substr(value, F.lit(1), F.lit(1))
+    more = F.repeat(F.lit("0"), _growth(draw))
+    longer = F.concat(value, more)
 
     def drawn(digest: Column) -> Column:
-        rest = lambda n: _same_shape(F.substr(value, F.lit(n)), digest)
+        rest = lambda n: _same_shape(F.substr(longer, F.lit(n)), digest)
         return (
-            F.when(kind == "secret", _secret(value, digest))
+            F.when(kind == "secret", _secret(longer, digest))
             .when(kind == "key", F.concat(F.substr(value, F.lit(1), F.lit(4)), rest(5)))
             .when(kind == "email", _email(key, value, draw))
-            .when(kind == "iban", _iban(value, digest))
-            .when(kind == "ip", _ip(digest))
-            .when(kind == "card", _card(value, digest))
+            .when(kind == "iban", _iban(longer, digest))
+            .when(kind == "ip", _ip(digest, draw))
+            .when(kind == "card", _card(value, digest, more))
             .when(kind == "ssn", F.concat((_byte(digest, 61) % 8 + 1).cast("string"), rest(2)))
             .when((kind == "phone") & (first >= "2"), F.concat((_byte(digest, 60) % 8 + 2).cast("string"), rest(2)))
-            .when(kind == "phone", _same_shape(value, digest))
-            .otherwise(_spoken(kind, digest))
+            .when(kind == "phone", _same_shape(longer, digest))
+            .otherwise(_spoken(kind, digest, draw))
         )
 
     return _let(_digest(key, kind, value, draw), drawn)
@@ -286,7 +302,8 @@ def _rendered(found: Column, key: str, draws: Column) -> Column:
         # Of each value its kind and surrogate.
         kind, first = new[0]["kind"], new[0]["new"]
         digits = _digits(found)
-        national = F.concat(F.substr(digits, F.lit(1), F.length(digits) - F.length(first)), first)
+        # What goes before the last ten digits is the country's.
+        national = F.concat(F.substr(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0))), first)
         cased = F.when((found == F.upper(found)) & (found != F.lower(found)), F.upper(first)).otherwise(first)
         words = F.split(F.regexp_replace(found, _TITLE_PART, ""), "[ -]")
         named = F.zip_with(new, words, lambda n, w: F.when(w == F.upper(w), F.upper(n["new"])).otherwise(F.initcap(n["new"])))
@@ -338,40 +355,50 @@ def redrawn(known: DataFrame, key: str, most: int = MOST_DRAWS) -> DataFrame | N
             "draws",
         )
     else:
-        raise RuntimeError("surrogates still collide; the key space of a kind is too small for its values")
+        raise RuntimeError(f"surrogates still collide after {most} draws, each with a larger space than the one before")
     changed = drawn.where("draw > 0")
     return None if changed.isEmpty() else changed
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """A column name that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def replaced(documents: DataFrame, key: str, text: str = "text", added: tuple[str, str] = ("n_replaced", "kinds_replaced")) -> DataFrame:
     """The documents with all columns, the text replaced, and two columns more: how many finds, and their kinds.
 
     A null text stays null with nothing found; empty texts and repeated rows stay as
-    they are; equal entities of any rows get equal surrogates and different ones
-    different surrogates. Columns that clash with the added ones are replaced.
+    they are, and long texts are read whole; equal entities of any rows get equal
+    surrogates and different ones different surrogates. Columns that clash with the
+    added ones are replaced, all others kept. An empty table gives no rows.
     """
+    hashed, drawn_in, found_in = (_unused(name, documents.columns) for name in ("text_hash", "draws", "found"))
     known = kept(values(documents, text), "entities")
     changed = redrawn(known, key)
     rows, draws = documents, F.lit(None).cast("map<string,int>")
     if changed is not None:
-        held = documents.select(F.xxhash64(text).alias("_text_hash"), F.explode(F.array_distinct(finds(F.col(text)))).alias("found")).distinct()
-        atom = held.select("_text_hash", F.explode(atoms(F.col("found"))).alias("a")).select("_text_hash", "a.kind", "a.value").distinct()
+        held = documents.select(F.xxhash64(text).alias(hashed), F.explode(F.array_distinct(finds(F.col(text)))).alias("found")).distinct()
+        atom = held.select(hashed, F.explode(atoms(F.col("found"))).alias("a")).select(hashed, "a.kind", "a.value").distinct()
         # Entries are bounded by the entities of one text.
-        maps = atom.join(changed, ["kind", "value"]).groupBy("_text_hash").agg(
-            F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "value"), "draw"))).alias("_draws")
+        maps = atom.join(changed, ["kind", "value"]).groupBy(hashed).agg(
+            F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "value"), "draw"))).alias(drawn_in)
         )
-        rows = documents.withColumn("_text_hash", F.xxhash64(text)).join(maps, "_text_hash", "left").drop("_text_hash")
-        draws = F.col("_draws")
-    rows = rows.withColumn("_found", finds(F.col(text)))
+        rows = documents.withColumn(hashed, F.xxhash64(text)).join(maps, hashed, "left").drop(hashed)
+        draws = F.col(drawn_in)
+    rows = rows.withColumn(found_in, finds(F.col(text)))
     between = F.split(F.col(text), _ANY, -1)
-    new = F.transform("_found", lambda f: _rendered(f, key, draws))
+    new = F.transform(found_in, lambda f: _rendered(f, key, draws))
     # Texts before, between and after the finds; the last has no find behind it.
     pieces = F.zip_with(between, new, lambda b, n: F.concat(b, F.coalesce(n, F.lit(""))))
-    whole = F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(F.col(text))
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_found", kind_of))), ",")
+    whole = F.when(F.size(found_in) > 0, F.array_join(pieces, "")).otherwise(F.col(text))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(found_in, kind_of))), ",")
     plain = [c for c in documents.columns if c not in added]
     return rows.select(
         *[whole.alias(c) if c == text else F.col(c) for c in plain],
-        F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias(added[0]),
+        F.coalesce(F.size(found_in), F.lit(0)).cast("long").alias(added[0]),
         F.coalesce(kinds, F.lit("")).alias(added[1]),
     )
