@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from facetframe.operators.funnel import funnel
 from facetframe.operators.json_paths import json_paths, path_failures, read_paths
 from facetframe.operators.table_functions import folded, register
+from facetframe.plans.summary import column_figures, summary_insights
 
 CELLS = [
     '{"a": 1, "b": {"c": [1, 2.5, null]}, "x y": "t"}',
@@ -160,3 +161,20 @@ def test_own_fold(spark):
     df.createOrReplaceTempView("rises")
     assert {tuple(r) for r in spark.sql("SELECT * FROM longest_rise(TABLE(rises) PARTITION BY k ORDER BY o)").collect()} == wanted
     assert folded(df.limit(0), Longest, "k string, best int", ["k"], ["o"]).count() == 0
+
+
+def test_summary_insights(spark):
+    rows = [("", "x", None), ("1.5", "", "12d"), (None, None, "3"), ("-2", "x", "4"), ("1e3", "y", "4"), ("7", "a", "5")]
+    df = spark.createDataFrame(rows, "`a.b` string, cat string, bad string")
+    said = [r["message"] for r in summary_insights(df).collect()]
+    # (1.5 - 2 + 1000 + 7) / 4; `12d` is no number, so the third column is a category too.
+    assert said == [
+        "a.b has an average value of 251.63 across 6 rows.",
+        "a.b ranges from -2.00 to 1000.00.",
+        "Top cat values: Unknown (2), x (2), a (1).",
+    ]
+    assert [r["place"] for r in summary_insights(df.select("cat")).collect()] == [2]
+    assert [r["place"] for r in summary_insights(df.select("a.b".join("``"))).collect()] == [0, 1]
+    figures = {r["column"]: r for r in column_figures(df).collect()}
+    assert (figures["bad"]["filled"], figures["bad"]["numbers"]) == (5, 4)
+    assert summary_insights(df.limit(0)).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from facetframe.operators.funnel import funnel
 from facetframe.operators.json_paths import json_paths, path_failures, read_paths
+from facetframe.plans.summary import summary_insights
 from workload.base import query, table
 
 HOUR = 3_600_000_000
@@ -164,3 +165,34 @@ def _(spark, folder):
     rows = table(spark, folder, "events").withColumn("event_group", F.col("user_id") % 7)
     found = funnel(rows, ["event_group"], "ts", [F.expr(s) for s in _AGAIN], 3 * HOUR, order=["event_id"])
     return found.select("event_group", "reached", F.unix_micros("reached_at").alias("micros"))
+
+
+_SUMMARY_SQL = """
+, figures AS (SELECT count(*) AS n, avg({measure}) AS mean, CAST(min({measure}) AS DOUBLE) AS lo, CAST(max({measure}) AS DOUBLE) AS hi FROM {source}),
+most AS (SELECT coalesce(nullif({category}, ''), 'Unknown') AS v, count(*) AS c FROM {source} GROUP BY 1 ORDER BY c DESC, v LIMIT 3)
+SELECT 0 AS place, '{name} has an average value of ' || format('{{:.2f}}', mean) || ' across ' || n || ' rows.' AS message FROM figures
+UNION ALL SELECT 1, '{name} ranges from ' || format('{{:.2f}}', lo) || ' to ' || format('{{:.2f}}', hi) || '.' FROM figures
+UNION ALL SELECT 2, 'Top {category} values: ' || string_agg(v || ' (' || c || ')', ', ' ORDER BY c DESC, v) || '.' FROM most
+"""
+_ORDER_CELLS_SQL = """WITH cells AS (
+  SELECT CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_totalprice AS VARCHAR) END AS price,
+         CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE nullif(o_orderstatus, 'F') END AS status FROM orders)"""
+
+
+@query(
+    "p17_summary_insights",
+    _ORDER_CELLS_SQL + _SUMMARY_SQL.format(measure="TRY_CAST(nullif(price, '') AS DOUBLE)", name="price", category="status", source="cells"),
+)
+def _(spark, folder):
+    key = F.col("o_orderkey")
+    price = F.when(key % 5 == 0, "").when(key % 7 == 0, F.lit(None)).otherwise(F.col("o_totalprice").cast("string"))
+    status = F.when(key % 3 == 0, "").otherwise(F.nullif("o_orderstatus", F.lit("F")))
+    return summary_insights(table(spark, folder, "orders").select(price.alias("price"), status.alias("status")))
+
+
+@query(
+    "p17_summary_insights_events",
+    "WITH cells AS (SELECT * FROM events)" + _SUMMARY_SQL.format(measure="event_id", name="event_id", category="event_type", source="cells"),
+)
+def _(spark, folder):
+    return summary_insights(table(spark, folder, "events").select("event_id", "user_id", "event_type", "value", "props"))
