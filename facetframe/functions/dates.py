@@ -25,6 +25,12 @@ PARSE_FORMATS = {
     "d MMM yyyy": r"^\d{1,2} [A-Z][a-z]{2} \d{4}$",
 }
 MONTH_FIRST_FORMATS = {f: shape for f, shape in PARSE_FORMATS.items() if not f.startswith("dd")}
+# For columns that write the day first.
+DAY_FIRST_FORMATS = {f: shape for f, shape in PARSE_FORMATS.items() if f not in ("MM/dd/yyyy", "MM-dd-yyyy")} | {
+    "dd/MM/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}$",
+}
+PARTS_SHAPE = r"^(\d{2})[/-](\d{2})[/-]\d{4}$"
 ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$"
 YEAR_SHAPE = r"^\d{4}$"
 
@@ -51,6 +57,17 @@ def lenient_timestamp(c: Column, formats=MONTH_FIRST_FORMATS) -> Column:
     return parse_date(c, formats)
 
 
+def day_first(c: Column) -> Column:
+    """Aggregate: whether a column of dates in parts writes the day first.
+
+    It does if some first part is over 12, so that it can only be a day, and no second
+    part is. Without such a cell, or with both kinds, the answer is no.
+    """
+    text = strip(c)
+    first, second = (F.regexp_extract(text, PARTS_SHAPE, i).try_cast("int") for i in (1, 2))
+    return F.coalesce(F.bool_or(first > 12), F.lit(False)) & ~F.coalesce(F.bool_or(second > 12), F.lit(False))
+
+
 def month_of(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from facetframe.functions.dates import DAY_FIRST_FORMATS, day_first, parse_date
 from facetframe.functions.numbers import plain_number, without_nan
 from facetframe.functions.text import LONG_TEXT, is_long, short_form
 from facetframe.operators.frames import cell, long_cells, order_columns, text_columns
@@ -138,3 +139,20 @@ def _smallest(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     return (
         short.unionByName(long).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
     )
+
+
+def parse_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Text columns of dates to timestamps, each column by one order of day and month.
+
+    One scan tells the order of all columns; it is one row. Columns that show no order,
+    or both, are read cell by cell, month first where a cell leaves it open. What
+    cannot be read is null.
+    """
+    if not columns:
+        return df
+    told = df.agg(*[day_first(cell(c).cast("string")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    parsed = {
+        c: parse_date(cell(c).cast("string"), DAY_FIRST_FORMATS) if told[f"c{i}"] else parse_date(cell(c).cast("string"))
+        for i, c in enumerate(columns)
+    }
+    return df.select(*[parsed[c].alias(c) if c in parsed else cell(c) for c in df.columns])

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from facetframe.operators.cleaning import parse_dates
 from facetframe.operators.funnel import funnel
 from facetframe.operators.json_paths import json_paths, path_failures, read_paths
 from facetframe.operators.table_functions import folded, register
@@ -178,3 +179,16 @@ def test_summary_insights(spark):
     figures = {r["column"]: r for r in column_figures(df).collect()}
     assert (figures["bad"]["filled"], figures["bad"]["numbers"]) == (5, 4)
     assert summary_insights(df.limit(0)).count() == 0
+
+
+def test_one_date_order_per_column(spark):
+    rows = [("05/01/2020", "05/01/2020", "31/01/2020"), ("31/01/2020", "12/12/2020", "01/31/2020"), (None, "bad", "05/01/2020"), ("2020-02-03", "", "")]
+    df = spark.createDataFrame(rows, "`day.first` string, open string, both string")
+    got = [[str(v)[:10] for v in r] for r in parse_dates(df, df.columns).collect()]
+    assert got == [
+        ["2020-01-05", "2020-05-01", "2020-01-31"],
+        ["2020-01-31", "2020-12-12", "2020-01-31"],
+        ["None", "None", "2020-05-01"],
+        ["2020-02-03", "None", "None"],
+    ]
+    assert parse_dates(df.limit(0), ["open"]).count() == 0 and parse_dates(df, []).columns == df.columns

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from facetframe.operators.cleaning import parse_dates
 from facetframe.operators.funnel import funnel
 from facetframe.operators.json_paths import json_paths, path_failures, read_paths
 from facetframe.plans.summary import summary_insights
@@ -196,3 +197,16 @@ def _(spark, folder):
 )
 def _(spark, folder):
     return summary_insights(table(spark, folder, "events").select("event_id", "user_id", "event_type", "value", "props"))
+
+
+@query(
+    "c8_parse_date_columns",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS european, strftime(o_orderdate, '%Y-%m-%d') AS american,
+              CASE WHEN o_orderkey % 9 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS dashed FROM orders""",
+)
+def _(spark, folder):
+    at = F.col("o_orderdate").cast("timestamp")
+    dashed = F.when(F.col("o_orderkey") % 9 > 0, F.date_format(at, "dd-MM-yyyy")).otherwise("unknown")
+    columns = {"european": F.date_format(at, "dd/MM/yyyy"), "american": F.date_format(at, "MM/dd/yyyy"), "dashed": dashed}
+    rows = table(spark, folder, "orders").select("o_orderkey", *[c.alias(n) for n, c in columns.items()])
+    return parse_dates(rows, list(columns)).select("o_orderkey", *[F.date_format(n, "yyyy-MM-dd").alias(n) for n in columns])
