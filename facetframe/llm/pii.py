@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from facetframe.llm.base import kept
+from facetframe.llm.base import kept, unused
 
 MOST_DRAWS = 24
 
@@ -360,14 +360,6 @@ def redrawn(known: DataFrame, key: str, most: int = MOST_DRAWS) -> DataFrame | N
     return None if changed.isEmpty() else changed
 
 
-def _unused(name: str, columns: list[str]) -> str:
-    """A column name that no column has, whatever its case."""
-    taken = {c.lower() for c in columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
 def replaced(documents: DataFrame, key: str, text: str = "text", added: tuple[str, str] = ("n_replaced", "kinds_replaced")) -> DataFrame:
     """The documents with all columns, the text replaced, and two columns more: how many finds, and their kinds.
 
@@ -376,7 +368,7 @@ def replaced(documents: DataFrame, key: str, text: str = "text", added: tuple[st
     surrogates and different ones different surrogates. Columns that clash with the
     added ones are replaced, all others kept. An empty table gives no rows.
     """
-    hashed, drawn_in, found_in = (_unused(name, documents.columns) for name in ("text_hash", "draws", "found"))
+    hashed, drawn_in, found_in = (unused(name, documents.columns) for name in ("text_hash", "draws", "found"))
     known = kept(values(documents, text), "entities")
     changed = redrawn(known, key)
     rows, draws = documents, F.lit(None).cast("map<string,int>")

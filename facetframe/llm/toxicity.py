@@ -3,8 +3,7 @@
 A word is a hashed word vector beside the mean of its hashed character n-gram
 vectors. A window of words runs through a gated recurrent layer in each direction;
 attention pools the states, and a logistic unit scores the window. Windows overlap
-and cover the whole text; a text's score is a logistic function of its highest
-window and the number of its windows.
+and cover the whole text; a text's score comes from its highest window.
 
 Training is numpy on the driver over a sample of labelled texts whose size is a
 parameter. Labels are of whole texts: after the first passes only those windows of
@@ -21,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from facetframe.llm.base import unused
 from facetframe.llm.words import LETTERED, Words, forget_powers, mixed, slices
 
 WINDOW = 48
@@ -361,7 +361,8 @@ def scored(documents: DataFrame, model: Model, carry: list[str], text: str = "te
 
 def clean(documents: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """The documents, with their own columns, whose score is under the least toxic one."""
-    return scored(documents, model, documents.columns, text, "_toxicity").where(F.col("_toxicity") < least).drop("_toxicity")
+    score = unused("toxicity", documents.columns)
+    return scored(documents, model, documents.columns, text, score).where(F.col(score) < least).drop(score)
 
 
 def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from facetframe.llm import pii
+from facetframe.llm import near_dup, pii
 
 
 def test_all_short_addresses_of_a_domain(spark):
@@ -58,3 +58,15 @@ def test_longer_surrogates_keep_their_kind(spark):
     found = spark.createDataFrame([("+1 (212) 555-0199",)], "found string")
     draws = F.create_map(F.lit("phone\x1f2125550199"), F.lit(3))
     assert re.fullmatch(r"\+1 \([2-9]\d\d\) \d{3}-\d{6}", found.select(pii._rendered(F.col("found"), "key", draws)).first()[0])
+
+
+def test_survivors_keep_columns_of_any_name(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, words), (1, words), (2, words + " more"), (3, ""), (3, ""), (4, None), (5, "other")], "doc_id int, text string")
+    clashing = ("_rank", "rank", "_ROW_KEY", "row_key", "single", "_single")
+    for column in clashing:
+        df = df.withColumn(column, F.lit("mine"))
+    got = near_dup.survivors(df).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3, 3, 4, 5]
+    assert all(r[c] == "mine" for r in got for c in clashing)
+    assert near_dup.survivors(df).columns == df.columns
