@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Bounds of the sample that the classifier is fitted on: languages and rows in all, and texts taken first.
-MOST_LANGUAGES = 128
+#: Bounds of the sample that the classifier is fitted on: rows in all, shared by the languages, the least share
+#: of a language however many there are, and texts taken first. Every language is learned.
 SAMPLE_ROWS = 1_600
+LEAST_EACH = 8
 SAMPLE_CHARS = 20_000
 LANDMARKS = 160
 RIDGE = 1e-2
@@ -142,15 +143,18 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     return Model(known, letters, columns, (project @ solved).astype(np.float32), base.astype(np.float32))
 
 
-def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, languages: int = MOST_LANGUAGES) -> list[tuple[str, str]]:
-    """(text, lang) of a bounded sample: as many distinct texts of each language as there are, by a hash of the text."""
-    # Copies of a text count once for the share, but each time for the most frequent languages.
-    texts = labelled.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.count("*").alias("n"))
-    counts = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(languages)
-    sizes = {r["lang"]: r["texts"] for r in counts.collect()}
+def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """(text, lang) of a sample with a bounded number of rows per language, by a hash of the text.
+
+    Every language is in it, with as many distinct texts as there are up to its share;
+    copies of a text count once.
+    """
+    texts = labelled.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    # One row per language.
+    sizes = {r["lang"]: r["texts"] for r in texts.groupBy("lang").agg(F.count("*").alias("texts")).collect()}
     if not sizes:
         return []
-    each = max(1, rows // len(sizes))
+    each = max(LEAST_EACH, rows // len(sizes))
     # A share by hash first, so that only a few times the wanted rows are ranked.
     share = labelled.sparkSession.createDataFrame(
         [(k, min(1.0, 4.0 * each / n + 1e-12)) for k, n in sizes.items()], "lang string, share double"

@@ -13,3 +13,11 @@ def test_copies_take_no_training_texts(spark):
     by_language = [k for _, k in got]
     assert len(set(got)) == len(got)
     assert by_language.count("xx") == 40 and by_language.count("yy") == 7
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"{chr(97 + i % 26)}{chr(97 + i // 26)} word{i}", f"l{i:03}") for i in range(200)]
+    got = language.sample(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(got) == sorted(rows)
+    model = language.fit([t for t, _ in got], [k for _, k in got])
+    assert len(model.languages) == 200
