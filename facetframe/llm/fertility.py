@@ -5,8 +5,9 @@ that fall back to bytes, and entropy of the tokens in bits. What is usual differ
 by script and length, so bands are taken per (script, power of two of the number
 of tokens) from all rows that pass the base rules: the median, give or take a
 multiple of the spread between quartiles. Only what lies far outside its band is
-rejected; a group of few rows takes the band of its script, and a script of few
-rows rejects nothing.
+rejected. The fewer rows a group has, the more its band leans on its script's, and the
+fewer a script has, the wider its bands are; no number of rows switches a rule on or off.
+Quartiles are exact: values, cut to thousandths, are counted per group before any shuffle.
 
 Texts are measured in one pass with no shuffle; each distinct word is encoded once
 per slice. The band table has at most one row per script and power of two.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from facetframe.llm.base import kept
 from facetframe.llm.tokens import vocabulary_path
@@ -29,8 +30,10 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of the words
 #: Spreads away from the median that are still usual, by measure.
 BAND = {"chars_per_token": 3.0, "byte_share": 3.0, "token_entropy": 2.5}
-#: Rows of a group that give a band of its own.
-GROUP_ROWS = 50
+#: Rows with which the band of a script weighs in that of a group, and a wide band in that of a script.
+PRIOR_ROWS = 20
+#: Steps of a measure's unit in which quartiles are told.
+STEPS = 1_000
 #: Least spread of each measure, so that uniform groups reject nothing for a trifle.
 LEAST_SPREAD = {"chars_per_token": 0.12, "byte_share": 0.02, "token_entropy": 0.2}
 #: Measures rejected below, above or on both sides of their band.
@@ -161,24 +164,44 @@ def measured(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     return documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def _quartiles(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Number of rows, and median and spread of each measure, of every group, out of counts of values."""
+    keys = [*by, "measure"]
+    # A group has as many rows here as a measure has steps.
+    upto = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    at = [F.min(F.when(F.col("upto") * 4 >= F.col("n") * k, F.col("value"))) / STEPS for k in (1, 2, 3)]
+    found = ranked.groupBy(*keys, "n").agg(*[q.alias(f"q{k}") for k, q in enumerate(at, 1)])
+    least = F.element_at(F.create_map(*[F.lit(x) for pair in LEAST_SPREAD.items() for x in pair]), F.col("measure"))
+    return found.select(*keys, "n", F.col("q2").alias("median"), F.greatest((F.col("q3") - F.col("q1")) / 1.349, least).alias("spread"))
+
+
 def bands(rows: DataFrame) -> DataFrame:
-    """Low and high bound of each measure per script and length class, and per script (class -1)."""
-    grouped = rows.withColumn("class", F.explode(F.array(F.col("length_class"), F.lit(-1)))).groupBy("script", "class")
-    quartiles = {c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in _DOUBLES}
-    found = grouped.agg(F.count("*").alias("group_rows"), *quartiles.values()).where(F.col("group_rows") >= GROUP_ROWS)
-    out = [F.col("script"), F.col("class")]
+    """Low and high bound of each measure per script and length class."""
+    measure = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.floor(F.col(c) * STEPS).alias("value")) for c in _DOUBLES]))
+    flat = rows.select("script", "length_class", measure.alias("m")).select("script", "length_class", "m.*")
+    counted = flat.groupBy("script", "length_class", "measure", "value").agg(F.count("*").alias("c"))
+    of_script = _quartiles(counted.groupBy("script", "measure", "value").agg(F.sum("c").alias("c")), ["script"]).select(
+        "script", "measure", F.col("median").alias("whole"), (F.col("spread") * (1 + F.lit(PRIOR_ROWS) / F.col("n"))).alias("wide")
+    )
+    groups = _quartiles(counted, ["script", "length_class"]).join(of_script, ["script", "measure"])
+    own = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    median = own * F.col("median") + (1 - own) * F.col("whole")
+    # What the group's median differs from its script's is not held against it.
+    spread = own * F.col("spread") + (1 - own) * (F.col("wide") + F.abs(F.col("median") - F.col("whole")))
+    told = groups.select("script", "length_class", "measure", median.alias("median"), spread.alias("spread"))
+    out = []
     for c in _DOUBLES:
-        spread = F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(LEAST_SPREAD[c]))
-        out += [(F.col(c)[1] - BAND[c] * spread).alias(f"low_{c}"), (F.col(c)[1] + BAND[c] * spread).alias(f"high_{c}")]
-    return found.select(*out)
+        of = lambda sign: F.max(F.when(F.col("measure") == c, F.col("median") + sign * BAND[c] * F.col("spread")))  # noqa: B023,E731
+        out += [of(-1).alias(f"low_{c}"), of(1).alias(f"high_{c}")]
+    return told.groupBy("script", "length_class").agg(*out)
 
 
 def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Measures, base_failed and kept of every row.
 
     A null or empty text has no words and fails the base rules, as any text under
-    50 words does. Texts of repeated rows count each. A row whose group has no band
-    is kept if it passes the base rules. Other columns are not read.
+    50 words does. Texts of repeated rows count each. Values at a bound are inside. Other columns are not read.
     """
     n = F.col("n_words")
     failed = (n < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > n * MOST_REPEATED)
@@ -189,15 +212,12 @@ def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", voc
     )
     # At most one row per script and power of two.
     table = F.broadcast(bands(rows.where(~F.col("base_failed"))))
-    of = lambda name: table.select("script", F.col("class").alias(name), F.struct(*table.columns[2:]).alias(f"band_{name}"))
-    own = rows.withColumn("own", F.col("length_class")).withColumn("all", F.lit(-1))
-    joined = own.join(F.broadcast(of("own")), ["script", "own"], "left").join(F.broadcast(of("all")), ["script", "all"], "left")
-    band = F.coalesce("band_own", "band_all")
+    joined = rows.join(table, ["script", "length_class"], "left")
     odd = F.lit(False)
     for c, (below, above) in SIDES.items():
         if below:
-            odd = odd | (F.col(c) < band[f"low_{c}"])
+            odd = odd | (F.col(c) < F.col(f"low_{c}"))
         if above:
-            odd = odd | (F.col(c) > band[f"high_{c}"])
+            odd = odd | (F.col(c) > F.col(f"high_{c}"))
     kept_row = ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))
     return joined.select(F.col("id").alias(doc_id), *_LONGS, *_DOUBLES, "script", "base_failed", kept_row.alias("kept"))
