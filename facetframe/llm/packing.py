@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from facetframe.llm.base import kept
+from facetframe.llm.base import kept, small_batches
 from facetframe.llm.tokens import ByteEncoder
 from facetframe.llm.words import slices
 
@@ -180,7 +180,9 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
     named like the results.
     """
     columns = cut.columns
-    rows = kept(cut, "pieces").withColumn("_bin", F.monotonically_increasing_id())
+    with small_batches(cut.sparkSession):
+        written = kept(cut, "pieces")
+    rows = written.withColumn("_bin", F.monotonically_increasing_id())
     done: list[DataFrame] = []
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     schema = f"{fields}, _part long, offset long, _given boolean, part_bins long, part_bound long"
