@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from facetframe.llm.base import kept
+from facetframe.llm.base import kept, small_batches
 from facetframe.llm.words import LETTERED, Words, forget_powers, mixed, slices
 
 WINDOW = 10
@@ -215,6 +215,21 @@ def _search(name: str, machines: list[Machine], labels: list[str], schema: pa.Sc
     return run
 
 
+def _holds(machines: list[Machine]):
+    """Whether a text holds any window of one block; only the text goes to Python, and one flag comes back."""
+
+    def test(texts: pa.Array) -> pa.Array:
+        found = np.zeros(len(texts), dtype=bool)
+        for first, held in slices(texts):
+            words = Words(held, LETTERED)
+            for machine in machines:
+                places, _ = machine.search(words)
+                found[first + words.text[places]] = True
+        return pa.array(found)
+
+    return F.arrow_udf(test, "boolean")
+
+
 def _runs(flags: np.ndarray) -> list[int]:
     """Start, end, start, end ... of the runs of true flags."""
     return np.flatnonzero(np.diff(flags.view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
@@ -246,6 +261,28 @@ def _merge(batches: Iterator[pa.RecordBatch], blocks: int, schema: list[str], ke
         yield pa.RecordBatch.from_arrays(arrays, names=schema)
 
 
+def _window_blocks(
+    items: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int
+) -> list[tuple[list[Machine], list[str]]]:
+    """(machines, item ids) of blocks of windows in a fixed order; one without windows if there are none."""
+    pool = items.where(F.col(item_id).isNotNull())
+    windows = kept(item_windows(pool, item_id, item_text, window), "windows")
+    grouped = windows.groupBy("n_words", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    blocks: list[tuple[list[Machine], list[str]]] = []
+    held: dict[int, list[tuple[bytes, list[str]]]] = {}
+    size = 0
+    for row in grouped.orderBy("n_words", "window").toLocalIterator():
+        cost = len(row["window"]) + 64 + sum(len(i) + 8 for i in row["items"])
+        if held and size + cost > block_bytes:
+            blocks.append(_machines(held))
+            held, size = {}, 0
+        held.setdefault(row["n_words"], []).append((bytes(row["window"]), row["items"]))
+        size += cost
+    if held or not blocks:
+        blocks.append(_machines(held))
+    return blocks
+
+
 def benchmark_hits(
     documents: DataFrame,
     items: DataFrame,
@@ -272,22 +309,7 @@ def benchmark_hits(
     carry = [c for c in documents.columns if c != text] if carry is None else carry
     added = {"n_words", "n_hit", "hit_spans", "items", "items_sha256"}
     renamed = {c: c if c not in added else f"doc_{c}" for c in carry}
-    pool = items.where(F.col(item_id).isNotNull())
-    windows = kept(item_windows(pool, item_id, item_text, window), "windows")
-    grouped = windows.groupBy("n_words", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    # Blocks of windows in a fixed order; the driver holds one at a time.
-    blocks: list[tuple[list[Machine], list[str]]] = []
-    held: dict[int, list[tuple[bytes, list[str]]]] = {}
-    size = 0
-    for row in grouped.orderBy("n_words", "window").toLocalIterator():
-        cost = len(row["window"]) + 64 + sum(len(i) + 8 for i in row["items"])
-        if held and size + cost > block_bytes:
-            blocks.append(_machines(held))
-            held, size = {}, 0
-        held.setdefault(row["n_words"], []).append((bytes(row["window"]), row["items"]))
-        size += cost
-    if held or not blocks:
-        blocks.append(_machines(held))
+    blocks = _window_blocks(items, item_id, item_text, window, block_bytes)
     rows = documents.select(*[F.col(c).alias(renamed[c]) for c in carry], F.col(text).alias("_text"))
     fields = list(rows.schema.fields)
     for b, (machines, labels) in enumerate(blocks):
@@ -313,13 +335,31 @@ def benchmark_hits(
     return rows.mapInArrow(lambda batches: _merge(batches, n_blocks, names, n_kept), out)
 
 
-def clean(documents: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents, with their own columns, that hold no window of any item."""
+def clean(
+    documents: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The documents, with their own columns, that hold no window of any item.
+
+    They are written in this call, so that Python gets small batches, of texts
+    alone, and a task needs one Python worker, with the tables of all blocks.
+    """
     names = documents.columns
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
     body = f"c{names.index(text)}"
-    found = benchmark_hits(plain, items, text=body, carry=plain.columns, **options)
-    return found.where("n_hit = 0").select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names)])
+    # Files hold no column without a type; it is all null.
+    empty = {c for c, kind in plain.dtypes if kind == "void"}
+    rows = plain.select(*[F.col(c).cast("string").alias(c) if c in empty else F.col(c) for c in plain.columns])
+    with small_batches(documents.sparkSession):
+        for machines, _ in _window_blocks(items, item_id, item_text, window, block_bytes):
+            rows = rows.where(~_holds(machines)(body))
+        rows = kept(rows, "decontaminated")
+    return rows.select(*[(F.lit(None) if c in empty else F.col(c)).alias(n) for c, n in zip(plain.columns, names)])
 
 
 def _machines(held: dict[int, list[tuple[bytes, list[str]]]]) -> tuple[list[Machine], list[str]]:

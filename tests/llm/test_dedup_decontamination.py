@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetframe.llm import decontaminate, near_dup
+from facetframe.llm.base import kept
 from facetframe.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -126,3 +127,26 @@ def test_benchmark_hits(spark, block_bytes):
     assert clean.count() == sum(brute_hits(t, items)[1] == 0 for _, t in docs)
     assert decontaminate.benchmark_hits(df.limit(0), table).count() == 0
     assert {r["n_hit"] for r in decontaminate.benchmark_hits(df, table.limit(0)).collect()} == {0}
+
+
+def test_clean_hands_python_small_batches_of_texts(spark, monkeypatch):
+    """One Python worker a task, given the texts alone and at most 2,000 at once."""
+    items = spark.createDataFrame([(1, "one two three"), (2, "four"), (3, "five six")], "item_id long, text string")
+    docs = [(i, "x" * 50 + (" ONE, two-three" if i % 3 == 0 else " five  six" if i % 3 == 1 else " six five"), None) for i in range(30)]
+    docs += [(None, None, None), (40, "", None), (41, "a four b", None), docs[2]]
+    df = spark.createDataFrame(docs, "`a.b` long, text string, `A` string").withColumn("nothing", F.lit(None))
+    written = []
+
+    def spied(rows, label):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        written.append((label, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), plan))
+        return kept(rows, label)
+
+    monkeypatch.setattr(decontaminate, "kept", spied)
+    clean = decontaminate.clean(df, items, block_bytes=1)
+    assert clean.dtypes == df.dtypes
+    assert sorted(map(str, clean.collect())) == sorted(str(r) for r in df.collect() if brute_hits(r["text"], items.collect())[1] == 0)
+    (rows, plan), *more = [(n, p) for label, n, p in written if label == "decontaminated"]
+    assert not more and rows <= 2000
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+    assert "Python" not in clean._jdf.queryExecution().executedPlan().toString()
