@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from facetframe.llm.base import kept, small_batches
+from facetframe.llm.base import for_files, kept, small_batches
 from facetframe.llm.words import LETTERED, Words, forget_powers, mixed, slices
 
 WINDOW = 10
@@ -349,17 +349,13 @@ def clean(
     They are written in this call, so that Python gets small batches, of texts
     alone, and a task needs one Python worker, with the tables of all blocks.
     """
-    names = documents.columns
-    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
-    body = f"c{names.index(text)}"
-    # Files hold no column without a type; it is all null.
-    empty = {c for c, kind in plain.dtypes if kind == "void"}
-    rows = plain.select(*[F.col(c).cast("string").alias(c) if c in empty else F.col(c) for c in plain.columns])
+    rows, own = for_files(documents)
+    body = f"c{documents.columns.index(text)}"
     with small_batches(documents.sparkSession):
         for machines, _ in _window_blocks(items, item_id, item_text, window, block_bytes):
             rows = rows.where(~_holds(machines)(body))
         rows = kept(rows, "decontaminated")
-    return rows.select(*[(F.lit(None) if c in empty else F.col(c)).alias(n) for c, n in zip(plain.columns, names)])
+    return own(rows)
 
 
 def _machines(held: dict[int, list[tuple[bytes, list[str]]]]) -> tuple[list[Machine], list[str]]:

@@ -36,6 +36,8 @@ PART_PIECES = 16_384
 ROUNDS = 4
 #: Bins given up for each bin over the bound.
 GIVEN_UP = 64
+#: Bytes of texts whose ids are made at once.
+_SLICE = 1_000_000
 
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
@@ -57,7 +59,7 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ByteEncoder(vocabulary)
         for batch in batches:
-            for first, held in slices(batch.column(batch.num_columns - 1)):
+            for first, held in slices(batch.column(batch.num_columns - 1), _SLICE):
                 ids, sizes = encoder.encode(held)
                 ends = np.cumsum(sizes)
                 row, piece, start, length, crc, own = [], [], [], [], [], []

@@ -11,6 +11,7 @@ encoded whole.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 
@@ -42,18 +43,16 @@ class ByteEncoder:
     """Ids of texts by a vocabulary of ranks, the same as in the tokenizer file of its name.
 
     Special tokens are ordinary text to the ranks; a text that holds one of them is
-    given to the tokenizer file.
+    given to the tokenizer file, which is loaded for the first such text.
     """
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
         import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(vocabulary_path(f"{vocabulary}.json"))
-        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        self.file, self.model = vocabulary_path(f"{vocabulary}.json"), None
+        with open(self.file, encoding="utf-8") as lines:
+            self.special = [t["content"].encode() for t in json.load(lines).get("added_tokens") or []]
         with open(vocabulary_path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ranks = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -68,6 +67,11 @@ class ByteEncoder:
     def _whole(self, text: bytes) -> list[int]:
         plain = text.decode("utf-8")
         if any(s in text for s in self.special):
+            if self.model is None:
+                os.environ["TOKENIZERS_PARALLELISM"] = "false"
+                from tokenizers import Tokenizer
+
+                self.model = Tokenizer.from_file(self.file)
             return self.model.encode(plain, add_special_tokens=False).ids
         return self.ranks.encode_ordinary(plain)
 

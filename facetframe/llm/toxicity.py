@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from facetframe.llm.base import unused
+from facetframe.llm.base import for_files, kept, small_batches
 from facetframe.llm.words import LETTERED, Words, forget_powers, mixed, slices
 
 WINDOW = 48
@@ -36,6 +36,8 @@ _LEFT_OUT, _LEVEL_EVERY = 0.2, 5
 #: A small sample is passed over more often, for about so many steps.
 _LEAST_STEPS, _MOST_PASSES = 160, 16
 _CHUNK = 1_024
+#: Bytes of texts that are scored at once.
+_SLICE = 1_000_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -339,6 +341,11 @@ def sample(documents: DataFrame, labels: DataFrame, key: str, text: str, label:
     return texts
 
 
+def _scores(model: Model, texts: pa.Array) -> pa.Array:
+    scores = [model.texts(held) for _, held in slices(texts, _SLICE)]
+    return pa.array(np.concatenate(scores) if scores else [], pa.float64())
+
+
 def scored(documents: DataFrame, model: Model, carry: list[str], text: str = "text", name: str = "score") -> DataFrame:
     """Carried columns and a score (0 to 1) of every whole text, under a name that no carried column has.
 
@@ -351,18 +358,23 @@ def scored(documents: DataFrame, model: Model, carry: list[str], text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.texts(held) for _, held in slices(batch.column(at), 1_000_000)]
             arrays = [batch.column(i) for i in range(len(carry))]
-            arrays.append(pa.array(np.concatenate(scores) if scores else [], pa.float64()))
+            arrays.append(_scores(model, batch.column(at)))
             yield pa.RecordBatch.from_arrays(arrays, names=[*carry, name])
 
     return wanted.mapInArrow(run, ", ".join([*kinds, f"`{name}` double"]))
 
 
 def clean(documents: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents, with their own columns, whose score is under the least toxic one."""
-    score = unused("toxicity", documents.columns)
-    return scored(documents, model, documents.columns, text, score).where(F.col(score) < least).drop(score)
+    """The documents, with their own columns, whose score is under the least toxic one.
+
+    They are written in this call, so that Python gets small batches, of texts alone, and gives back the scores.
+    """
+    score = F.arrow_udf(lambda texts: _scores(model, texts), "double")
+    rows, own = for_files(documents.where(score(F.col(text)) < least))
+    with small_batches(documents.sparkSession):
+        rows = kept(rows, "clean")
+    return own(rows)
 
 
 def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:

@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from facetframe.llm import fertility, language, packing, queries, sharding, toxicity
+from facetframe.llm import base, fertility, language, packing, queries, sharding, toxicity
 from facetframe.llm.tokens import ByteEncoder, vocabulary_path
 
 FOLDER = "/root/testdata/sf0.001"
@@ -32,6 +32,14 @@ def test_encoder_equals_the_tokenizer(spark):
         assert ids[e - n : e].tolist() == wanted, t[:40]
 
 
+def test_encoder_loads_the_tokenizer_for_special_tokens_alone():
+    encoder = ByteEncoder("byte_bpe_50k")
+    plain, special = ["some  words", "more"], ["<|endoftext|> x", "some words"]
+    assert encoder.encode([t.encode() for t in plain])[0].tolist() == sum(reference_ids(plain), [])
+    assert encoder.model is None
+    assert encoder.encode([t.encode() for t in special])[0].tolist() == sum(reference_ids(special), [])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 24), max_size=14))
 def test_best_fit_and_its_bound(lengths):
@@ -237,6 +245,30 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.scored(df, constant, ["doc_id"]).collect()} == {0.0}
 
 
+class FewTexts:
+    """In place of a model: texts are toxic if too many are handed over at once, or if they say so."""
+
+    def texts(self, texts):
+        return np.array([1.0 if len(texts) > 2000 or b"bad" in t else 0.0 for t in texts])
+
+
+def test_clean_hands_python_small_batches_of_texts(spark, monkeypatch):
+    text = F.when(F.col("id") == 9, "bad").when(F.col("id") % 7 > 0, F.concat(F.lit("good "), F.col("id") % 4000))
+    df = spark.range(5000, numPartitions=1).select(text.alias("text"), (F.col("id") % 4000).alias("A.b"), F.lit(None).alias("nothing"))
+    written = []
+
+    def spied(rows, label):
+        written.append(rows._jdf.queryExecution().executedPlan().toString())
+        return base.kept(rows, label)
+
+    monkeypatch.setattr(toxicity, "kept", spied, raising=False)
+    clean = toxicity.clean(df, FewTexts())
+    assert clean.dtypes == df.dtypes
+    assert sorted(map(str, clean.collect())) == sorted(str(r) for r in df.collect() if r["text"] != "bad")
+    assert [(p.count("ArrowEvalPython"), "MapInArrow" in p) for p in written] == [(1, False)]
+    assert "Python" not in clean._jdf.queryExecution().executedPlan().toString()
+
+
 def test_windows_overlap_and_cover():
     for n in (0, 1, 48, 49, 84, 85, 500):
         starts = toxicity.window_starts(n)
